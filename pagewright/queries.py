@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.plans import registry
 from pagewright.operators import changefeed, drift, hierarchy, orphan_catalog, orphans
 
 
@@ -82,3 +83,4 @@ def p5_inherited(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (p1_found, p1_lifespans, p1_unified, p2_found, p2_hierarchy, p3_found, p3_rows, p5_found, p5_report, p5_inherited)
 }
+QUERIES |= registry.QUERIES

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pagewright.plans import registry
+
 _CURRENT_META = "cm AS (SELECT oid, arg_max(struct_pack(p := part_parent, d := drop_ts, t := toast_rel_id, s := seen_ts), (t_xmin, row_no)) r, min(seen_ts) first_ts FROM table_meta WHERE oid IS NOT NULL GROUP BY oid)"
 _CURRENT_TYPE = "ct AS (SELECT * FROM type_def WHERE oid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY oid ORDER BY t_xmin DESC, row_no DESC) = 1)"
 
@@ -79,3 +81,4 @@ SQL: dict[str, str] = {
     "p5_found": f"WITH {_REFERENCES} SELECT DISTINCT ref_table, ref_id, reason FROM orphan",
     "p5_report": f"WITH {_REFERENCES} SELECT ref_table, date_trunc('month', seen_ts) AS period, reason, count(*) AS n FROM orphan GROUP BY ALL",
 }
+SQL |= registry.SQL
