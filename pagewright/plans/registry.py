@@ -564,3 +564,64 @@ def report_json(spark, folder):
     worst = entries.where("severity > 0").groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
     both = report.summary(entries).crossJoin(worst.agg(F.to_json(F.sort_array(F.collect_list(F.struct("severity", "n")))).alias("levels")))  # one row each
     return both.select(F.to_json(F.struct("*")).alias("report"))
+
+
+# ---- heap files ----
+
+
+def _heap_scan(spark, df, layout: str, **options):
+    """Rows written as heap files into the shared folder and scanned again."""
+    import uuid
+
+    from pagewright.plans.lineage import shared_root
+    from pagewright.sources.heap import register
+    from pagewright.sources.pagewriter import write_heap
+
+    register(spark)
+    folder = f"{shared_root(spark)}/heap-{uuid.uuid4().hex}"
+    write_heap(df, folder, layout).agg(F.sum("n_pages")).collect()  # one number
+    reader = spark.read.format("pgheap").option("columns", layout)
+    for key, value in options.items():
+        reader = reader.option(key, value)
+    return reader.load(f"{folder}/*".removeprefix("file://"))
+
+
+_ORDERS = "o_orderkey int8, o_custkey int8, o_orderstatus text, o_totalprice float8, o_orderdate timestamp, o_orderpriority text"
+
+
+def _dirty_orders(spark, folder):
+    """Orders with tuple headers: every tenth one deleted, every 23rd aborted, every 17th with an unknown delete."""
+    key = F.col("o_orderkey")
+    mask = F.when(key % 10 == 0, 0x500).when(key % 23 == 0, 0xA00).when(key % 17 == 0, 0x100).otherwise(0x900)
+    return table(spark, folder, "orders").withColumn("_xmin", F.lit(700).cast("bigint")).withColumn("_xmax", F.when((key % 10 == 0) | (key % 17 == 0), 900).otherwise(0).cast("bigint")).withColumn("_infomask", mask)
+
+
+@query("SELECT * FROM orders WHERE o_orderkey % 10 <> 0 AND o_orderkey % 23 <> 0")
+def heap_roundtrip_orders(spark, folder):
+    rows = _heap_scan(spark, _dirty_orders(spark, folder), _ORDERS)
+    live = rows.where(visibility.admitted(visibility.visibility(F.col("_infomask"), F.col("_xmax"))))
+    return live.select(*[c for c in rows.columns if not c.startswith("_")])
+
+
+@query("SELECT o_orderstatus, count(*) AS n_orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM orders WHERE o_orderkey % 10 <> 0 AND o_orderkey % 23 <> 0 GROUP BY 1")
+def heap_status_totals(spark, folder):
+    rows = _heap_scan(spark, _dirty_orders(spark, folder), _ORDERS, select="o_orderstatus,o_totalprice")
+    live = rows.where(visibility.admitted(visibility.visibility(F.col("_infomask"), F.col("_xmax"))))
+    return live.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_orders"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
+
+
+@query("SELECT event_id, ts, user_id, event_type FROM events")
+def heap_roundtrip_events(spark, folder):
+    rows = _heap_scan(spark, table(spark, folder, "events"), "event_id int8, ts timestamp, user_id int8, event_type text")
+    return rows.select("event_id", "ts", "user_id", "event_type")
+
+
+@query("SELECT doc_id, text FROM documents")
+def heap_carved_documents(spark, folder):
+    """Whole texts up to a page through the fallback scan, longer ones through pieces and reassembly."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rows = docs.select("doc_id", F.length("text").alias("n"), F.explode(F.when(F.length("text") > 1000, F.sequence(F.lit(0), (F.ceil(F.length("text") / 1000) - 1).cast("int"))).otherwise(F.array(F.lit(0)))).alias("seq"), "text")
+    pieces = rows.select("doc_id", "seq", F.expr("substring(text, seq * 1000 + 1, 1000)").alias("data")).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    scanned = _heap_scan(spark, pieces, "doc_id int8, seq int4, data text", scanMode="carve")
+    whole = toast.reassemble(scanned.where("data is not null").select("doc_id", "seq", "data"), "doc_id", "seq", "data")
+    return scanned.select("doc_id").distinct().join(whole, "doc_id", "left").select("doc_id", F.col("value").alias("text"))
