@@ -196,7 +196,7 @@ def decode_columns(t: Tuples, columns: list[ColumnLayout], wanted: set[str], enc
         short, external = (first & 1) == 1, first == 1
         long = np.where(short, 0, _u32(flat, np.minimum(t.start + pos, max(0, top - 3))))
         size = np.where(external, 18, np.where(short, first >> 1, long >> 2))
-        outside |= there & ((size < 1) | (pos + size > t.size))
+        outside |= there & ((size < np.where(external | short, 1, np.where((first & 3) == 2, 8, 4))) | (pos + size > t.size))
         quality[outside] |= 1
         broken |= outside
         there &= ~outside
