@@ -165,7 +165,8 @@ def pack(items: DataFrame) -> DataFrame:
         if not going:
             break
         items = materialize(packed.where(reopen).select("spec_id", "capacity", "name", "size"))
-    out = done[0]
+    kinds = items.schema
+    out = items.sparkSession.createDataFrame([], f"spec_id int, container_id string, name string, size {kinds['size'].dataType.simpleString()}") if not done else done[0]
     for part in done[1:]:
         out = out.unionByName(part)
     return out

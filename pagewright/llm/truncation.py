@@ -133,8 +133,10 @@ def _scan(documents: DataFrame, key: str, column: str) -> DataFrame:
                 units.update(units_of(core))
             if len(units) > 50_000:
                 rows += flush()
-            yield frame(rows)
-        yield frame(flush())
+            if rows:
+                yield frame(rows)
+        if rest := flush():
+            yield frame(rest)
 
     asked = documents.where(F.length(F.trim(F.coalesce(column, F.lit("")))) > 0).select(F.col(key).alias("k_"), F.col(column).alias("t_"))
     return asked.mapInPandas(look, f"what string, key {kind}, value string, unit string, sig string, is_open boolean, n bigint")
