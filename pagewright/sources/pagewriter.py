@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pagewright.functions.varlena import frame
 from pagewright.sources.layout import ColumnLayout, parse_columns
 
-_PACK = {"bool": "<?", "int2": "<h", "int4": "<i", "int8": "<q", "oid": "<I", "float4": "<f", "float8": "<d", "date": "<i", "timestamp": "<q", "tinyint": "<b"}
+_PACK = {"bool": "<?", "int2": "<h", "int4": "<i", "int8": "<q", "oid": "<I", "float4": "<f", "float8": "<d", "date": "<i", "timestamp": "<q", "timestamptz": "<q", "time": "<q", "money": "<q", "xid": "<I", "tinyint": "<b"}
 
 
 def encode_value(column: ColumnLayout, value) -> bytes:
