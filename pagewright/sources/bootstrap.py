@@ -172,8 +172,7 @@ class Cluster:
         """Number of live rows; no column is decoded."""
         rel = self.find(name)
         path = relation_path(self.root, self.database, rel["relfilenode"], rel["reltablespace"])
-        rows = self.spark.read.format("pgheap").option("columns", "").load(path).drop("raw")
-        return rows.where(admitted(visibility(F.col("_infomask"), F.col("_xmax")))).count()
+        return self.spark.read.format("pgheap").options(raw="false", visibility="live").load(path).count()
 
     def ddl(self, name: str) -> list[str]:
         """CREATE TABLE of a relation with its columns."""

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
 
 from pagewright.sources.layout import ColumnLayout, parse_columns
-from pagewright.sources.pages import PAGE_SIZES, Tuples, carved_tuples, decode_columns, page_state, standard_tuples
+from pagewright.sources.pages import PAGE_SIZES, Tuples, carved_tuples, decode_columns, page_state, standard_tuples, visible
 
 #: Pages read at once; 1024 pages are 8 MiB.
 PAGES_AT_ONCE = 1024
@@ -71,6 +71,9 @@ class HeapReader(DataSourceReader):
             raise ValueError(f"scanMode {self.mode!r}: use auto, standard or carve")
         self.pages_per_partition = int(options.get("pagesperpartition", 4096))
         self.encoding = options.get("encoding", "utf-8")
+        self.visibility = options.get("visibility", "")
+        if self.visibility not in ("", "live", "all", "deleted"):
+            raise ValueError(f"visibility {self.visibility!r}: use live, all or deleted")
         self.low, self.high = 0, 2**62
         files = []
         for part in options["path"].split(","):
@@ -119,6 +122,8 @@ class HeapReader(DataSourceReader):
             except OSError:
                 continue  # an unreadable range gives no rows; the report compares pages
             t = self._tuples(data, partition.first_page + done)
+            if self.visibility:
+                t = t.where(visible(t.head["infomask"], t.head["xmax"], self.visibility))
             if len(t):
                 yield self._batch(t, partition.file, names)
 
@@ -156,9 +161,10 @@ class HeapReader(DataSourceReader):
 class HeapDataSource(DataSource):
     """Options: path (a relation's main file, a list or a glob), columns (`id int4, v text` or JSON), select (names of the
     columns to decode), pageSize, scanMode (auto, standard, carve), pagesPerPartition, encoding, toast (adds
-    `<column>__toast`, the value ids of out-of-line values), header (false leaves the `_` columns out).
+    `<column>__toast`, the value ids of out-of-line values), header (false leaves the `_` columns out), visibility (live, all
+    or deleted by hint bits, before anything is decoded; without it every tuple comes).
 
-    Without columns the tuples come as they are, in `raw`.
+    Without columns the tuples come as they are, in `raw`; raw=false leaves that out too, as a count needs.
     """
 
     @classmethod
@@ -169,7 +175,7 @@ class HeapDataSource(DataSource):
         fields = [T.StructField(n, t) for n, t in _HEAD] if self.options.get("header", "true") == "true" else []
         columns = [c for c in parse_columns(self.options["columns"]) if not c.dropped] if self.options.get("columns") else []
         if not columns:
-            return T.StructType([*fields, T.StructField("raw", T.BinaryType())])
+            return T.StructType([*fields, *([T.StructField("raw", T.BinaryType())] if self.options.get("raw", "true") == "true" else [])])
         if self.options.get("select"):
             asked = {n.strip() for n in self.options["select"].split(",")}
             columns = [c for c in columns if c.name in asked]  # table order; unknown names are left out

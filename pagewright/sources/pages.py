@@ -32,6 +32,11 @@ class Tuples:
     def __len__(self) -> int:
         return len(self.start)
 
+    def where(self, keep: np.ndarray) -> Tuples:
+        if keep.all():
+            return self
+        return Tuples(self.flat, self.page[keep], self.item[keep], self.start[keep], self.size[keep], {k: v[keep] for k, v in self.head.items()}, self.bad_pages)
+
 
 def _u16(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return flat[at].astype(np.int64) | flat[at + 1].astype(np.int64) << 8
@@ -41,6 +46,16 @@ def _u32(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return _u16(flat, at) | _u16(flat, at + 2) << 16
 
 
+def visible(mask: np.ndarray, xmax: np.ndarray, mode: str) -> np.ndarray:
+    """Which tuples a scan mode admits by their hint bits, as the visibility expressions do."""
+    aborted = (mask & 0x300) == 0x200
+    alive = ((mask & 0x880) != 0) | (((mask & 0x1400) == 0) & (xmax == 0))
+    deleted = ((mask & 0x880) == 0) & ((mask & 0x1400) != 0)
+    if mode == "live":
+        return ~aborted & ~deleted
+    return ~aborted & ~alive if mode == "deleted" else ~aborted
+
+
 def headers(flat: np.ndarray, start: np.ndarray) -> dict[str, np.ndarray]:
     block = _u16(flat, start + 12) << 16 | _u16(flat, start + 14)
     info2 = _u16(flat, start + 18)

@@ -104,6 +104,23 @@ def test_external_and_compressed_values(reader, tmp_path):
     assert rows[1].v is None and rows[1].v__toast == 77 and rows[1]._quality & 4 and rows[2].v == "abcdefghabcdefgh"
 
 
+def test_visibility_in_the_reader(reader, tmp_path):
+    """The reader's own filter admits what the column expressions admit, for all flags."""
+    import itertools
+
+    from pagewright.operators.visibility import admitted, visibility
+    from pyspark.sql import functions as F
+
+    masks = [sum(c) for n in range(7) for c in itertools.combinations((0x100, 0x200, 0x400, 0x800, 0x80, 0x1000), n)]
+    layout = parse_columns(LAYOUT)
+    rows = [((i, None, 0.5, None, True, 1), {"infomask": m, "xmax": x}) for i, (m, x) in enumerate((m, x) for m in masks for x in (0, 900))]
+    (tmp_path / "6").write_bytes(b"".join(make_pages(layout, rows)))
+    everything = reader(str(tmp_path / "6")).withColumn("s", visibility(F.col("_infomask"), F.col("_xmax")))
+    for mode in ("live", "all", "deleted"):
+        want = {r.id for r in everything.where(admitted(F.col("s"), mode)).collect()}
+        assert {r.id for r in reader(str(tmp_path / "6"), visibility=mode).collect()} == want and 0 < len(want) < len(rows)
+
+
 def test_page_size(tmp_path):
     (tmp_path / "p").write_bytes(b"".join(make_page([make_tuple(parse_columns("id int4"), (i,))], 16384) for i in range(4)))
     assert detect_page_size(str(tmp_path / "p")) == 16384
