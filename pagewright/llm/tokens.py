@@ -23,8 +23,6 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 WINDOW, LEAST, MASK, MOST = 24, 128, (1 << 9) - 1, 4096
 #: How far the pattern looks beyond a piece: a split this far from a chunk's end doesn't depend on what follows.
 REACH = 3
-#: Splits kept from a chunk's beginning, at which an encoding that comes from the left may meet the chunk's own.
-HEAD = 96
 
 
 class Encoder:
@@ -57,52 +55,48 @@ class Encoder:
                 self.pieces[piece] = ids
         return ids
 
-    def splits(self, text: str) -> list[int]:
-        return [m.start() for m in self.pattern.finditer(text)]
-
-    def chunk(self, text: str) -> tuple[list[int], list[int], list[int], int, int]:
-        """Ids of a chunk by itself, its first splits (characters, tokens), and its last split that no follower changes."""
+    def chunk(self, text: str) -> tuple[list[int], int, int]:
+        """Ids of a chunk by itself, and its last split that nothing behind the chunk can change (character, token)."""
         ids = self.encode(text)
-        starts = self.splits(text)
-        safe = [s for s in starts if s + REACH <= len(text)] or [0]
-        wanted = safe[:HEAD] + safe[-1:]
-        # characters -> bytes -> tokens
-        if text.isascii():
-            at = np.array(wanted)
-        else:
-            widths = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
-            sizes = 1 + (widths > 0x7F).astype(np.int64) + (widths > 0x7FF) + (widths > 0xFFFF)
-            at = np.concatenate([[0], np.cumsum(sizes)])[wanted]
-        ends = np.concatenate([[0], np.cumsum(self.lengths[ids])]) if ids else np.zeros(1, dtype=np.int64)
-        tokens = np.searchsorted(ends, at)
-        good = ends[np.minimum(tokens, len(ends) - 1)] == at
-        head = [(c, int(t)) for c, t, g in zip(wanted[:-1], tokens[:-1], good[:-1]) if g]
-        last = (wanted[-1], int(tokens[-1])) if good[-1] else (0, 0)
-        return ids, [c for c, _ in head], [t for _, t in head], *last
+        safe = 0
+        for m in self.pattern.finditer(text):
+            if m.start() + REACH > len(text):
+                break
+            safe = m.start()
+        token = self.token_at(ids, text, safe)
+        return (ids, 0, 0) if token is None else (ids, safe, token)
+
+    def token_at(self, ids: list[int], text: str, at: int) -> int | None:
+        """Index of the token that begins at a character; None if none does."""
+        byte = at if text.isascii() else len(text[:at].encode("utf-8"))
+        ends = np.cumsum(self.lengths[ids])
+        token = int(np.searchsorted(ends, byte, "left")) + 1 if byte else 0
+        return token if not byte or (token <= len(ids) and ends[token - 1] == byte) else None
 
     def join(self, chunks) -> list[int]:
-        """The ids of a text from its chunks (text, ids, head_chars, head_tokens, tail_char, tail_token), in order.
+        """The ids of a text from its chunks (ids, tail character, tail token), in order.
 
         `rest` is what stands after the last exact split. It is encoded anew together with the beginning of the next
         chunk until one of its splits is one of that chunk's own; from there on the chunk's ids hold. Where none is met
-        the whole chunk joins the rest.
+        the whole chunk joins the rest. A chunk's text is that of its ids, so it needn't travel with them.
         """
         out: list[int] = []
         rest = ""
-        for text, ids, chars, toks, tail, tail_token in chunks:
+        for ids, tail, tail_token in chunks:
+            text = self.tokenizer.decode(ids)
             if not rest:
                 out += ids[:tail_token]
                 rest = text[tail:]
                 continue
-            own = {c: t for c, t in zip(chars, toks) if c <= tail}
-            met = None
-            for width in (48, 400, len(text)):
-                window = rest + text[:width]
-                pieces = []
+            met, pieces = None, []
+            for width in (64, 400, len(text)):
+                head = text[:width]
+                own = {m.start() for m in self.pattern.finditer(head) if m.start() + REACH <= len(head) and m.start() <= tail}
+                window, pieces = rest + head, []
                 for m in self.pattern.finditer(window):
                     at = m.start() - len(rest)
-                    if at >= 0 and at in own and m.start() + REACH <= len(window):
-                        met = (at, own[at])
+                    if at >= 0 and at in own and m.start() + REACH <= len(window) and (token := self.token_at(ids, text, at)) is not None:
+                        met = (at, token)
                         break
                     pieces.append(m.group())
                 if met or width >= len(text):
@@ -172,7 +166,7 @@ def token_ids(documents: DataFrame, key: str = "doc_id", column: str = "text", t
 
         for batch in batches:
             texts = batch["t_"].tolist()
-            out_k, out_r, out_s, out_h, out_t = [], [], [], [], []
+            out_k, out_r, out_s, out_n, out_h, out_t = [], [], [], [], [], []
             for k, r, t, cuts in zip(batch["k_"], batch["row_"], texts, cut_points(texts)):
                 at = 0
                 for s, to in enumerate([*cuts, len(t)]):
@@ -181,9 +175,10 @@ def token_ids(documents: DataFrame, key: str = "doc_id", column: str = "text", t
                     out_k.append(k)
                     out_r.append(r)
                     out_s.append(s)
+                    out_n.append(len(cuts) + 1)
                     out_t.append(piece)
                     out_h.append(hashlib.blake2b(piece.encode("utf-8", "surrogatepass"), digest_size=16).digest())
-            yield pd.DataFrame({"k_": out_k, "row_": out_r, "seq": out_s, "h": out_h, "piece": out_t})
+            yield pd.DataFrame({"k_": out_k, "row_": out_r, "seq": out_s, "n": out_n, "h": out_h, "piece": out_t})
 
     def encode(batches):
         import pandas as pd
@@ -191,29 +186,26 @@ def token_ids(documents: DataFrame, key: str = "doc_id", column: str = "text", t
         enc = encoder(tokenizer, folder)
         for batch in batches:
             made = [enc.chunk(t) for t in batch["piece"]]
-            frame = pd.DataFrame(made, columns=["ids", "chars", "toks", "tail", "tail_token"])
-            yield pd.concat([batch[["h", "piece"]].reset_index(drop=True), frame], axis=1)
+            frame = pd.DataFrame(made, columns=["ids", "tail", "tail_token"])
+            yield pd.concat([batch[["h"]].reset_index(drop=True), frame], axis=1)
 
     def mend(batches):
         import pandas as pd
 
         enc = encoder(tokenizer, folder)
         for batch in batches:
-            ids = []
-            for parts in batch["parts"]:
-                if len(parts) == 1:
-                    ids.append(parts[0]["ids"])
-                    continue
-                ids.append(enc.join([(p["piece"], p["ids"].tolist(), p["chars"], p["toks"], p["tail"], p["tail_token"]) for p in parts]))
+            ids = [enc.join([(p["ids"].tolist(), p["tail"], p["tail_token"]) for p in parts]) for parts in batch["parts"]]
             yield pd.DataFrame({"k_": batch["k_"], "ids": ids})
 
     has_text = F.length("t_") > 0
-    pieces = materialize(rows.where(has_text).mapInPandas(cut, f"k_ {kind}, row_ bigint, seq int, h binary, piece string"))
+    pieces = materialize(rows.where(has_text).mapInPandas(cut, f"k_ {kind}, row_ bigint, seq int, n int, h binary, piece string"))
     distinct = pieces.groupBy("h").agg(F.any_value("piece").alias("piece"))
-    coded = distinct.mapInPandas(encode, "h binary, piece string, ids array<int>, chars array<int>, toks array<int>, tail int, tail_token int")
-    placed = skew_join(pieces.select("k_", "row_", "seq", "h"), coded, ["h"])
-    whole = placed.groupBy("k_", "row_").agg(F.sort_array(F.collect_list(F.struct("seq", "piece", "ids", "chars", "toks", "tail", "tail_token"))).alias("parts"))  # the chunks of one text
-    done = whole.select("k_", "parts").mapInPandas(mend, f"k_ {kind}, ids array<int>")
+    coded = distinct.mapInPandas(encode, "h binary, ids array<int>, tail int, tail_token int")
+    placed = skew_join(pieces.select("k_", "row_", "seq", "n", "h"), coded, ["h"])
+    placed = materialize(placed.drop("h"))
+    single = placed.where("n = 1").select("k_", "ids")
+    several = placed.where("n > 1").groupBy("k_", "row_").agg(F.sort_array(F.collect_list(F.struct("seq", "ids", "tail", "tail_token"))).alias("parts"))  # the chunks of one text
+    done = single.unionByName(several.select("k_", "parts").mapInPandas(mend, f"k_ {kind}, ids array<int>"))
     none = rows.where(~F.coalesce(has_text, F.lit(False))).select("k_", F.array().cast(T.ArrayType(T.IntegerType())).alias("ids"))
     return done.unionByName(none).withColumnRenamed("k_", key)
 
