@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.plans.lineage import materialize, release
-from pagewright.plans.skew import LEAST_ROWS, hot_hashes, skew_join
+from pagewright.plans.skew import skew_join
 
 #: Ways in which the children of one parent are numbered side by side.
 SIBLING_BUCKETS = 64
@@ -176,10 +176,10 @@ def chain_paths(forest: DataFrame) -> DataFrame:
 def descendants(forest: DataFrame, asked: DataFrame) -> DataFrame:
     """All proper descendants of the nodes in `asked` (column id), from the intervals of heavy_paths(): id, descendant.
 
-    Only chains that overlap an asked interval are looked into: their intervals are matched per root, then their members.
+    Places in a tree are dense, so an interval is written out as its places, one for each descendant, and each place
+    belongs to one node: an equi join on (root, place) whose work is that of its result. `forest` must hold whole trees.
     """
-    wanted = asked.select("id").distinct().join(forest.select("id", "root", "lo", "hi"), "id").select(F.col("id"), "root", F.col("lo").alias("from_"), F.col("hi").alias("to_"))
-    rows = forest.select(F.col("id").alias("descendant"), "root", "lo")
-    hot = hot_hashes(rows, ["root"], LEAST_ROWS)
-    inside = skew_join(rows, wanted, ["root"], "inner", hot)
-    return inside.where("lo > from_ and lo < to_").select("id", "descendant")
+    wanted = asked.select("id").distinct().join(forest.select("id", "root", "lo", "hi"), "id").where("hi > lo + 1")
+    blocks = wanted.select("id", "root", "hi", F.explode(F.sequence(F.col("lo") + 1, F.col("hi") - 1, F.lit(4096).cast("bigint"))).alias("from_"))
+    places = blocks.select("id", "root", F.explode(F.sequence("from_", F.least(F.col("from_") + 4095, F.col("hi") - 1))).alias("lo"))
+    return places.join(forest.select("root", "lo", F.col("id").alias("descendant")), ["root", "lo"]).select("id", "descendant")
