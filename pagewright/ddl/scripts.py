@@ -77,3 +77,34 @@ def delimiter(text: str) -> str:
     if len(char.encode()) != 1 or char in '\r\n"\\' or char.isalnum() or char == ".":
         raise ValueError(f"{text!r} can't delimit fields")
     return char
+
+
+def mask_secret(text: str) -> str:
+    """A secret for a log: its ends, or nothing of a short one."""
+    return "*" * len(text) if len(text) < 8 else f"{text[:2]}{'*' * (len(text) - 4)}{text[-2:]}"
+
+
+def compatibility(config: str, type_names: Iterable[str] = ()) -> str:
+    """The mode of a database: `oracle` by its configuration, `mysql` by its types, else `pg`; the last setting counts."""
+    found = re.findall(r"^\s*database_mode\s*=\s*'?(\w+)'?", config, re.MULTILINE | re.IGNORECASE)
+    if found and found[-1].lower() == "oracle":
+        return "oracle"
+    return "mysql" if {"mysql_time", "mysql_timestamp", "tinyint"} & {n.lower() for n in type_names} else "pg"
+
+
+def timezone_hint(columns: Iterable[tuple[str, str]], timezone: str | None) -> str:
+    """A warning where columns (name, type) need a time zone that isn't known."""
+    need = sorted(n for n, t in columns if t in ("timestamptz", "mysqltimestamp"))
+    return f"no time zone is known for: {', '.join(need)}" if need and not timezone else ""
+
+
+def last_segment_full(size: int, page_size: int = 8192, segment_pages: int = 131_072) -> bool:
+    """Whether the last segment is exactly full, a weak sign that another one is missing."""
+    return size == page_size * segment_pages
+
+
+def progress_line(done: int, total: int, rows: int, seconds: float) -> str:
+    """Pages done, rows so far and what is left, from running totals."""
+    share = done / total if total else 1.0
+    left = seconds * (1 - share) / share if share else 0.0
+    return f"{share:.0%} of {total} pages, {rows} rows, {seconds:.0f} s, {left:.0f} s left"

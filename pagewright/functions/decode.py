@@ -563,6 +563,24 @@ def registered(names: Mapping[int, str]) -> Decoder:
     return lambda raw: "-" if _take("I", raw)[0] == 0 else names.get(_take("I", raw)[0], str(_take("I", raw)[0]))
 
 
+def int16(raw: bytes) -> str:
+    """A 128-bit integer."""
+    if len(raw) < 16:
+        raise Broken("16 bytes are needed")
+    return str(int.from_bytes(raw[:16], "little", signed=True))
+
+
+def escaped(raw: bytes) -> str:
+    """Bytes in the escape form: backslash doubled, what isn't printable in octal."""
+    return "".join("\\\\" if b == 92 else chr(b) if 32 <= b < 127 else f"\\{b:03o}" for b in raw)
+
+
+def signed_clock(raw: bytes) -> str:
+    """A signed time that may pass 24 hours."""
+    us = _take("q", raw)[0]
+    return ("-" if us < 0 else "") + _clock(abs(us))
+
+
 _i2, _i4, _i8, _u4 = _number("h"), _number("i"), _number("q"), _number("I")
 _tz = lambda raw: timestamp(raw, "+00")
 
@@ -573,6 +591,7 @@ TYPES: dict[str, tuple[int, int, Decoder]] = {
     "name": (64, 1, name_), "char": (1, 1, char_), "cstring": (-2, 1, text), "bytea": (-1, 4, bytea), "date": (4, 4, date_), "time": (8, 8, time_), "timetz": (12, 8, timetz), "timestamp": (8, 8, timestamp), "timestamptz": (8, 8, _tz),
     "interval": (16, 8, interval), "uuid": (16, 1, uuid), "json": (-1, 4, text), "xml": (-1, 4, text), "jsonb": (-1, 4, jsonb), "inet": (-1, 4, inet), "cidr": (-1, 4, lambda r: inet(r, True)), "macaddr": (6, 4, _mac), "macaddr8": (8, 4, _mac),
     "bit": (-1, 4, bits), "varbit": (-1, 4, bits), "int2vector": (-1, 4, oidvector("h")), "oidvector": (-1, 4, oidvector("I")), "pg_lsn": (8, 8, pg_lsn), "txid_snapshot": (-1, 8, txid_snapshot), "pg_node_tree": (-1, 4, text),
+    "int16": (16, 8, int16), "blob": (-1, 4, escaped), "binary": (-1, 4, lambda r: "0x" + r.hex().upper()), "clob": (-1, 4, text), "mysqltime": (8, 8, signed_clock),
     "point": (16, 8, point), "lseg": (32, 8, lambda r: f"[{_points(r, 0, 2)}]"), "box": (32, 8, lambda r: _points(r, 0, 2)), "path": (-1, 8, path), "polygon": (-1, 8, polygon), "line": (24, 8, lambda r: "{" + ",".join(_coord(r, 8 * i) for i in range(3)) + "}"),
     "circle": (24, 8, lambda r: f"<{point(r)},{_coord(r, 16)}>"), "tsvector": (-1, 4, tsvector), "tsquery": (-1, 4, tsquery), "aclitem": (12, 4, aclitem()), "regclass": (4, 4, registered({})), "regtype": (4, 4, registered({})), "regproc": (4, 4, registered({})),
 }
@@ -589,7 +608,7 @@ OIDS = {
     1043: "varchar", 1082: "date", 1083: "time", 1114: "timestamp", 1184: "timestamptz", 1186: "interval", 1266: "timetz", 1560: "bit", 1562: "varbit", 1700: "numeric", 2205: "regclass", 2206: "regtype", 2950: "uuid", 2970: "txid_snapshot",
     3220: "pg_lsn", 3614: "tsvector", 3615: "tsquery", 3802: "jsonb", 3904: "int4range", 3906: "numrange", 3908: "tsrange", 3910: "tstzrange", 3912: "daterange", 3926: "int8range", 4451: "int4multirange", 4532: "nummultirange", 4533: "tsmultirange",
     4534: "tstzmultirange", 4535: "datemultirange", 4536: "int8multirange", 1000: "_bool", 1001: "_bytea", 1005: "_int2", 1007: "_int4", 1009: "_text", 1014: "_bpchar", 1015: "_varchar", 1016: "_int8", 1021: "_float4", 1022: "_float8", 1115: "_timestamp",
-    1182: "_date", 1183: "_time", 1185: "_timestamptz", 1187: "_interval", 1231: "_numeric", 2951: "_uuid", 199: "_json", 3807: "_jsonb", 1028: "_oid", 1041: "_inet",
+    1182: "_date", 1183: "_time", 1185: "_timestamptz", 1187: "_interval", 1231: "_numeric", 2951: "_uuid", 4659: "int16", 8013: "blob", 8014: "clob", 3383: "binary", 3384: "binary", 7944: "date", 7950: "mysqltime", 7952: "timestamp", 7024: "jsonb", 199: "_json", 3807: "_jsonb", 1028: "_oid", 1041: "_inet",
 }
 
 

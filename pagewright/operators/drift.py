@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from pagewright.operators.hierarchy import resolve
 from pagewright.plans.lineage import materialize
-from pagewright.plans.skew import previous
+from pagewright.plans.skew import previous, skew_join
 
 #: Casts that keep every value, by (from, to) type oid; what isn't here is tried and yields NULL where it fails.
 #: Type oids of bool 16, int8 20, int2 21, int4 23, text 25, float4 700, float8 701, bpchar 1042,
@@ -202,7 +202,7 @@ def unified_rows(attr: DataFrame, records: DataFrame, aliases: Mapping[int, str]
     latest = ids.where("last_attnum is not null").select("attrelid", "last_attnum", "last_name", "last_typid").distinct()
     latest = latest.groupBy("attrelid").agg(F.sort_array(F.collect_list(F.struct("last_attnum", "last_name", "last_typid"))).alias("want"))
     once = records.groupBy("attrelid", "snap_no", "file_name", "pg_version", "natts", "line", "written_ts").agg(F.min("rec_id").alias("rec_id"))
-    got = once.join(cols, ["attrelid", "snap_no"]).join(latest, "attrelid")
+    got = skew_join(skew_join(once, cols, ["attrelid", "snap_no"]), latest, ["attrelid"])
     present = F.filter("cols", lambda c: c["attnum"] <= F.coalesce(F.col("natts"), F.lit(2**31 - 1)))
     placed = F.map_from_entries(
         F.filter(

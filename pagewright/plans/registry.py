@@ -323,6 +323,16 @@ def largest_files(spark, folder):
     return catalog.current_relations(table(spark, folder, "table_meta")).where("relkind = 'r'").select("oid", "relpages").orderBy(F.desc("relpages"), "oid").limit(5)
 
 
+@query(f"""WITH {_CM}, {_CC}, k AS (SELECT DISTINCT con_oid, conname, conrelid, confrelid, conkey, confkey FROM constr_row WHERE contype = 'f'),
+a AS (SELECT con_oid, string_agg(coalesce(attname, '?'), ',' ORDER BY pos) cols FROM (SELECT con_oid, conrelid r, unnest(conkey) n, generate_subscripts(conkey, 1) pos FROM k) LEFT JOIN cc ON attrelid = r AND attnum = n GROUP BY con_oid),
+b AS (SELECT con_oid, string_agg(coalesce(attname, '?'), ',' ORDER BY pos) cols FROM (SELECT con_oid, confrelid r, unnest(confkey) n, generate_subscripts(confkey, 1) pos FROM k) LEFT JOIN cc ON attrelid = r AND attnum = n GROUP BY con_oid)
+SELECT k.con_oid, k.conname, x.relname AS table_name, a.cols AS columns, y.relname AS target_name, b.cols AS target_columns FROM k LEFT JOIN a ON a.con_oid = k.con_oid LEFT JOIN b ON b.con_oid = k.con_oid LEFT JOIN cm x ON x.oid = k.conrelid LEFT JOIN cm y ON y.oid = k.confrelid""")
+def foreign_key_columns(spark, folder):
+    from pagewright.operators.objects import foreign_keys
+
+    return foreign_keys(table(spark, folder, "constr_row"), catalog.current_columns(table(spark, folder, "attr_row")), catalog.current_relations(table(spark, folder, "table_meta")))
+
+
 # ---- formats ----
 
 

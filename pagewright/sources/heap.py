@@ -74,6 +74,12 @@ class HeapReader(DataSourceReader):
         self.visibility = options.get("visibility", "")
         if self.visibility not in ("", "live", "all", "deleted"):
             raise ValueError(f"visibility {self.visibility!r}: use live, all or deleted")
+        self.transform = None
+        if options.get("pagetransform"):  # module:function from (page bytes, page number) to page bytes, as a decryptor is
+            import importlib
+
+            module, _, name = options["pagetransform"].partition(":")
+            self.transform = getattr(importlib.import_module(module), name)
         self.low, self.high = 0, 2**62
         files = []
         for part in options["path"].split(","):
@@ -128,6 +134,9 @@ class HeapReader(DataSourceReader):
                 yield self._batch(t, partition.file, names)
 
     def _tuples(self, data: bytes, first: int) -> Tuples:
+        if self.transform is not None:
+            size = self.page_size
+            data = b"".join(self.transform(data[i : i + size], first + i // size) for i in range(0, len(data), size))
         natts = max(1, len(self.columns)) if self.columns else 1600
         if self.mode == "carve":
             return carved_tuples(data, self.page_size, first, natts)
@@ -162,7 +171,8 @@ class HeapDataSource(DataSource):
     """Options: path (a relation's main file, a list or a glob), columns (`id int4, v text` or JSON), select (names of the
     columns to decode), pageSize, scanMode (auto, standard, carve), pagesPerPartition, encoding, toast (adds
     `<column>__toast`, the value ids of out-of-line values), header (false leaves the `_` columns out), visibility (live, all
-    or deleted by hint bits, before anything is decoded; without it every tuple comes).
+    or deleted by hint bits, before anything is decoded; without it every tuple comes), pageTransform (`module:function`
+    applied to each page's bytes and number).
 
     Without columns the tuples come as they are, in `raw`; raw=false leaves that out too, as a count needs.
     """

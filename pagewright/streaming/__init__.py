@@ -1 +1 @@
-
+"""Following a heap feed as it arrives."""
