@@ -81,4 +81,12 @@ SQL: dict[str, str] = {
     "p5_found": f"WITH {_REFERENCES} SELECT DISTINCT ref_table, ref_id, reason FROM orphan",
     "p5_report": f"WITH {_REFERENCES} SELECT ref_table, date_trunc('month', seen_ts) AS period, reason, count(*) AS n FROM orphan GROUP BY ALL",
 }
+SQL["p5_inherited"] = f"""WITH RECURSIVE {_REFERENCES},
+direct AS (SELECT DISTINCT ref_table tbl, ref_id id, reason FROM orphan UNION SELECT 'table_meta', oid, 'missing' FROM cm WHERE cm.r.p <> 0 AND cm.r.p NOT IN (SELECT oid FROM cm)),
+links AS (SELECT 'table_meta' tbl, oid id, 'table_meta' ptbl, cm.r.p pid FROM cm UNION SELECT 'constr_row', con_oid, 'table_meta', confrelid FROM constr_row UNION SELECT 'constr_row', con_oid, 'table_meta', conrelid FROM constr_row
+  UNION SELECT 'index_row', ind_index_rel_id, 'table_meta', ind_rel_id FROM index_row UNION SELECT 'toast_pointer', ptr_id, 'table_meta', rel_oid FROM toast_pointer
+  UNION SELECT 'type_def', oid, 'table_meta', typrelid FROM ct UNION SELECT 'type_def', oid, 'type_def', base FROM ct UNION SELECT 'type_def', oid, 'type_def', elem FROM ct),
+lv AS (SELECT DISTINCT tbl, id, 0 lvl FROM direct UNION SELECT l.tbl, l.id, lvl + 1 FROM lv JOIN links l ON l.ptbl = lv.tbl AND l.pid = lv.id AND l.pid <> 0 WHERE lvl < 40),
+low AS (SELECT tbl, id, min(lvl) lvl FROM lv GROUP BY ALL)
+SELECT tbl AS "table", 0 AS level, reason, count(*) AS n FROM direct GROUP BY ALL UNION ALL SELECT tbl, lvl, 'inherited', count(*) FROM low WHERE lvl > 0 GROUP BY ALL"""
 SQL |= registry.SQL
