@@ -94,6 +94,21 @@ def deleted_markers(spark, folder):
     return _states(spark, folder).where(visibility.admitted(F.col("state"), "all")).select("feed_seq", visibility.deleted_mark(F.col("state")).alias("mark"))
 
 
+@query(f"SELECT feed_seq, rel_oid, s AS state, CASE s WHEN 'deleted' THEN 'DELETED' WHEN 'suspected' THEN 'SUSPECTED_DELETED' ELSE '' END AS mark, val_text FROM (SELECT *, {_STATE} s FROM heap_tuple) WHERE s <> 'aborted'")
+def mvcc_all_marked(spark, folder):
+    rows = _states(spark, folder).where(visibility.admitted(F.col("state"), "all"))
+    return rows.select("feed_seq", "rel_oid", "state", visibility.deleted_mark(F.col("state")).alias("mark"), "val_text")
+
+
+@query("SELECT rel_oid, row_id, page_no, item_no, feed_seq FROM heap_tuple QUALIFY row_number() OVER (PARTITION BY rel_oid, row_id ORDER BY t_ctid = (page_no << 16) + item_no DESC, feed_seq DESC) = 1")
+def chain_end_version(spark, folder):
+    """Of each row the image at the end of its update chain (its ctid is its own place), then the one that came last."""
+    at_end = (F.col("t_ctid") == F.shiftleft("page_no", 16) + F.col("item_no")).cast("int")
+    rows = table(spark, folder, "heap_tuple")
+    best = rows.groupBy("rel_oid", "row_id").agg(F.max_by(F.struct("page_no", "item_no", "feed_seq"), F.struct(F.coalesce(at_end, F.lit(-1)), "feed_seq")).alias("r"))
+    return best.select("rel_oid", "row_id", "r.page_no", "r.item_no", "r.feed_seq")
+
+
 @query(f"WITH l AS ({_LATEST}) SELECT feed_seq, {_STATE_LOG} AS state FROM heap_tuple h LEFT JOIN l i ON i.xid = h.t_xmin LEFT JOIN l o ON o.xid = h.t_xmax")
 def mvcc_clog_recheck(spark, folder):
     from pagewright.plans.skew import hot_hashes
@@ -520,8 +535,16 @@ def toast_usage(spark, folder):
 # ---- encodings and reports ----
 
 
-@query()
-def encoding_vote_pages(spark, folder):
+_UTF8 = "(?:[0-7].|(?:C[2-9A-F]|D.)[89AB].|E0[AB].[89AB].|E[1-9ABCEF][89AB].[89AB].|ED[89].[89AB].|F0[9AB].(?:[89AB].){2}|F[1-3](?:[89AB].){3}|F48.(?:[89AB].){2})*"
+
+
+@query(f"""WITH b AS (SELECT rel_oid, page_no, substr(hex(raw), 2 * ({_le(22, 1)} + 5) + 1) h FROM heap_tuple WHERE octet_length(raw) > 24),
+v AS (SELECT rel_oid, page_no, count(*) FILTER (regexp_matches(h, '^(?:..)*[89A-F]')) hi, count(*) FILTER (regexp_matches(h, '^(?:..)*[89A-F]') AND regexp_full_match(h, '{_UTF8}')) good FROM b GROUP BY ALL),
+p AS (SELECT rel_oid, page_no, CASE WHEN hi = 0 THEN NULL WHEN good = hi THEN 'utf8' WHEN good = 0 THEN 'other' END vote FROM v),
+s AS (SELECT rel_oid, max(page_no) - min(page_no) + 1 span, min(page_no) low FROM p GROUP BY 1),
+c AS (SELECT p.rel_oid, count(vote) n, count(*) FILTER (vote = 'utf8') u FROM p JOIN s USING (rel_oid) WHERE (page_no - low) % greatest(CAST(ceil(span / 16.0) AS BIGINT), 1) = 0 GROUP BY 1)
+SELECT rel_oid, n AS n_votes, CASE WHEN greatest(u, n - u) >= 2 AND greatest(u, n - u) * 3 >= n * 2 AND greatest(u, n - u) * 2 <> n THEN CASE WHEN u = greatest(u, n - u) THEN 'utf8' ELSE 'other' END END AS winner FROM c""")
+def encoding_vote_by_pages(spark, folder):
     votes = encoding_vote.page_votes(table(spark, folder, "heap_tuple"), "rel_oid", "page_no", "raw")
     return encoding_vote.winners(votes, "rel_oid", "page_no")
 
@@ -555,7 +578,7 @@ def report_summary(spark, folder):
 
 
 @query(f"WITH {_ENTRIES}, r AS (SELECT 'fewer pages than the catalog tells' reason FROM e WHERE pages_state = 'short' UNION ALL SELECT 'out-of-line values missing' FROM e WHERE toast_missing > 0 UNION ALL SELECT 'bad blocks' FROM e WHERE bad_blocks > 0 UNION ALL SELECT 'rows differ from the estimate' FROM e WHERE rows_state IN ('short', 'over')) SELECT reason, count(*) AS n FROM r GROUP BY reason")
-def verdict_reasons(spark, folder):
+def verdict_fold(spark, folder):
     return report.reasons(_entries(spark, folder))
 
 
@@ -620,7 +643,7 @@ def heap_status_totals(spark, folder):
 
 
 @query("SELECT event_id, ts, user_id, event_type FROM events")
-def heap_roundtrip_events(spark, folder):
+def heap_roundtrip_events_ts(spark, folder):
     rows = _heap_scan(spark, table(spark, folder, "events"), "event_id int8, ts timestamp, user_id int8, event_type text")
     return rows.select("event_id", "ts", "user_id", "event_type")
 
