@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.plans import skew
 from pagewright.plans.lineage import materialize, release
 from pagewright.plans.skew import skew_join
 
@@ -13,6 +14,11 @@ SIBLING_BUCKETS = 64
 _MAX_ROUNDS = 64
 
 
+def _no_hot(rows: int) -> list[int] | None:
+    """Hot keys of a side with so many rows: surely none, or to be looked for."""
+    return [] if rows < skew.LEAST_ROWS else None
+
+
 def clean_links(links: DataFrame) -> DataFrame:
     """Links (id, parent) as one row per id: rows with a NULL id are left out, of several parents the smallest counts,
     a parent that is no id counts as none. Other columns are left out."""
@@ -34,20 +40,21 @@ def separate_circles(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     # nodes whose way up isn't known to end yet
     state = materialize(links.where("parent is not null").select("id", F.col("parent").alias("jump"), F.col("parent").alias("least")))
     for _ in range(_MAX_ROUNDS):
-        found = state.where("id = least").select("id")
-        if not found.isEmpty():
-            new = materialize(found)
+        rows, closed = state.agg(F.count(F.lit(1)), F.count_if(F.col("id") == F.col("least"))).first()
+        if rows == 0:
+            break
+        written = state
+        if closed:
+            new = materialize(state.where("id = least").select("id"))
             cut = new if cut is None else materialize(cut.union(new))
             # all on the circle have gone round by now and met its smallest id
             state = state.join(new.withColumnRenamed("id", "least"), "least", "left_anti").select("id", "jump", "least")
         up = state.select(F.col("id").alias("jump"), F.col("jump").alias("jump2"), F.col("least").alias("least2"))
         # the inner join drops nodes whose ancestor isn't open: their way ends
-        following = skew_join(state, up, ["jump"]).select("id", F.col("jump2").alias("jump"), F.least("least", "least2").alias("least"))
+        following = skew_join(state, up, ["jump"], hot=_no_hot(rows)).select("id", F.col("jump2").alias("jump"), F.least("least", "least2").alias("least"))
         following = materialize(following)
-        release(state)
+        release(written)
         state = following
-        if state.isEmpty():
-            break
     else:
         raise RuntimeError("the rounds of pointer doubling didn't end")
     release(state)
@@ -62,17 +69,16 @@ def double(state: DataFrame, combine: dict[str, Column]) -> DataFrame:
     ancestor's `up`; `combine` makes the new values from own ones and those of the ancestor, named `<value>_up`."""
     values = [c for c in state.columns if c not in ("id", "up")]
     state = materialize(state)
-    done: list[DataFrame] = []
     for _ in range(_MAX_ROUNDS):
-        if state.where("up is not null").isEmpty():
+        going = state.where("up is not null")
+        rows = going.count()
+        if rows == 0:
             return state
         above = state.select(F.col("id").alias("up"), F.col("up").alias("up_up"), *[F.col(v).alias(f"{v}_up") for v in values])
-        going = skew_join(state.where("up is not null"), above, ["up"])
+        going = skew_join(going, above, ["up"], hot=_no_hot(rows))
         going = going.select("id", F.col("up_up").alias("up"), *[combine[v].alias(v) if v in combine else F.col(v) for v in values])
         following = materialize(going.unionByName(state.where("up is null")))
-        done.append(state)
-        release(*done)
-        done.clear()
+        release(state)
         state = following
     raise RuntimeError("the rounds of pointer doubling didn't end")
 
@@ -91,11 +97,12 @@ def subtree_sizes(links: DataFrame) -> DataFrame:
     """
     state = materialize(links.select("id", "parent", F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("size")))
     for _ in range(_MAX_ROUNDS):
-        if state.where("up is not null").isEmpty():
+        rows = state.where("up is not null").count()
+        if rows == 0:
             return state.drop("up")
         more = state.where("up is not null").groupBy("up").agg(F.sum("size").alias("more")).withColumnRenamed("up", "id")
         above = state.select(F.col("id").alias("up"), F.col("up").alias("up_up"))
-        following = skew_join(state, above, ["up"], "left").join(more, "id", "left")
+        following = skew_join(state, above, ["up"], "left", hot=_no_hot(rows)).join(more, "id", "left")
         following = materialize(following.select("id", "parent", F.col("up_up").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
         release(state)
         state = following
