@@ -15,11 +15,8 @@ def quote_ident(name: Column) -> Column:
 
 def money_text(cents: Column) -> Column:
     """money: `-$1,234.56` from hundredths; works for the lowest int8, whose negative doesn't exist."""
-    wide = cents.cast("decimal(20,0)")
-    whole = F.floor(F.abs(wide) / 100).cast("decimal(20,0)")
-    rest = (F.abs(wide) % 100).cast("int")
-    grouped = F.regexp_replace(whole.cast("string"), r"(?<=\d)(?=(\d{3})+$)", ",")
-    return F.concat(F.when(cents < 0, "-").otherwise(""), F.lit("$"), grouped, F.lit("."), F.lpad(rest.cast("string"), 2, "0"))
+    amount = (F.abs(cents.cast("decimal(20,0)")) / F.lit(100)).cast("decimal(22,2)")
+    return F.concat(F.when(cents < 0, "-").otherwise(""), F.lit("$"), F.format_number(amount, 2))
 
 
 def hms_text(micros: Column) -> Column:

@@ -23,15 +23,21 @@ def as_text(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("string")
 
 
+def _plain(df: DataFrame, column: str, delimiter: str) -> bool:
+    """Whether a column's text can hold nothing that needs quoting or escaping."""
+    kind = df.schema[column].dataType.simpleString()
+    return delimiter in ",;|\t" and (kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp", "timestamp_ntz") or kind.startswith("decimal"))
+
+
 def csv_field(value: Column, delimiter: str = ",") -> Column:
     """One CSV field: NULL is `\\N`, an empty text an empty cell; delimiters, quotes, line ends and the markers `\\N` and
     `\\.` are quoted."""
-    special = value.contains(delimiter) | value.rlike(r'["\r\n]') | value.isin("\\N", "\\.")
+    special = value.contains(delimiter) | value.contains('"') | value.contains("\n") | value.contains("\r") | value.isin("\\N", "\\.")
     return F.when(value.isNull(), "\\N").when(special, F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(value)
 
 
 def csv_line(df: DataFrame, columns: Sequence[str], delimiter: str = ",") -> Column:
-    return F.concat_ws(delimiter, *[csv_field(as_text(df, c), delimiter) for c in columns])
+    return F.concat_ws(delimiter, *[F.coalesce(as_text(df, c), F.lit("\\N")) if _plain(df, c, delimiter) else csv_field(as_text(df, c), delimiter) for c in columns])
 
 
 def csv_header(columns: Sequence[str], delimiter: str = ",") -> str:
@@ -51,7 +57,7 @@ def copy_field(value: Column, delimiter: str = "\t") -> Column:
 
 
 def copy_line(df: DataFrame, columns: Sequence[str], delimiter: str = "\t") -> Column:
-    return F.concat_ws(delimiter, *[copy_field(as_text(df, c), delimiter) for c in columns])
+    return F.concat_ws(delimiter, *[F.coalesce(as_text(df, c), F.lit("\\N")) if _plain(df, c, delimiter) else copy_field(as_text(df, c), delimiter) for c in columns])
 
 
 def text_literal(value: Column, oracle_empty: bool = False) -> Column:
