@@ -62,4 +62,4 @@ def cascade(direct: DataFrame, links: DataFrame) -> DataFrame:
 
 def per_period(orphans: DataFrame, period: str = "month") -> DataFrame:
     """Orphan references (child_table, reason, seen_ts) counted per table, reason and period of seen_ts."""
-    return orphans.groupBy(F.col("child_table").alias("ref_table"), F.date_trunc(period, "seen_ts").alias("period"), "reason").agg(F.count(F.lit(1)).alias("n"))
+    return orphans.groupBy(F.col("child_table").alias("ref_table"), F.date_trunc(period, "seen_ts").cast("timestamp_ntz").alias("period"), "reason").agg(F.count(F.lit(1)).alias("n"))
