@@ -28,7 +28,12 @@ UTF8_SPANS = re.compile(
     rb"(?:[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]"
     rb"|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2})+"
 )
+#: As UTF8_SPANS with ASCII between, which may be the second byte of a double-byte character.
+UTF8_TEXT = re.compile(rb"(?:[\x01-\x7F]|" + UTF8_SPANS.pattern + rb")+")
+UTF8_CHARACTER = re.compile(rb"[\x01-\x7F]|[\xC2-\xF4][\x80-\xBF]+")
 GBK_SPANS = re.compile(rb"(?:[\x81-\xFE][\x40-\x7E\x80-\xFE])+")
+#: What a GBK span lies in: bytes that may belong to one, between those that never do.
+GBK_RUNS = re.compile(rb"[\x40-\xFF]+")
 #: Offsets and bits of the three tables of the character model (2^21, 2^18, 2^15 counters), whatever the size of the data.
 TABLES = ((0, 21), (1 << 21, 18), ((1 << 21) + (1 << 18), 15))
 MODEL_SIZE = sum(1 << bits for _, bits in TABLES)
@@ -86,6 +91,72 @@ def decode_spans(text: str, raw: bytes, spans: re.Pattern[bytes], encoding: str)
     return "".join([*out, text[at:]]), covered, made
 
 
+@lru_cache(maxsize=65536)
+def _double(c: str, encoding: str) -> bytes:
+    """The bytes of a character in a double-byte encoding, NUL if it has none."""
+    try:
+        return c.encode(encoding)
+    except UnicodeEncodeError:
+        return b"\0"
+
+
+def _plausible(part: bytes, encoding: str) -> str | None:
+    """The text of a span, None if it doesn't decode or holds what no text has."""
+    try:
+        good = part.decode(encoding)
+    except UnicodeDecodeError:
+        return None
+    return None if any(c < " " or c == "\x7f" or unicodedata.category(c) in ("Cn", "Co") for c in good) else good
+
+
+def segments(word: str, read: str, written: str) -> list[tuple[int, int, str]]:
+    """Stretches of a word that are well-formed in another encoding: first and end character, decoded text.
+
+    UTF-8 spans are cut where their characters and the word's characters both end, GBK spans count in runs that they cover.
+    Characters that the encoding doesn't have end a span.
+    """
+    single = read not in READ_AS_DOUBLE
+    parts = [bytes([_table(read).get(c, 0)]) for c in word] if single else [_double(c, read) for c in word]
+    raw = b"".join(parts)
+    spans: list[list[int]] = []
+    if written == "utf-8":
+        for m in UTF8_TEXT.finditer(raw):
+            if m.group().isascii():
+                continue
+            spans.append([m.start(), *(m.start() + c.end() for c in UTF8_CHARACTER.finditer(m.group()))])
+    else:
+        for run in GBK_RUNS.finditer(raw):
+            found = [(run.start() + m.start(), run.start() + m.end()) for m in GBK_SPANS.finditer(run.group())]
+            if sum(b > 127 for a, e in found for b in raw[a:e]) == sum(b > 127 for b in run.group()) and all(_plausible(raw[a:e], written) for a, e in found):
+                spans += [[a, e] for a, e in found]
+    if not spans:
+        return []
+    place, at = {0: 0}, 0
+    for i, part in enumerate(parts, 1):
+        at += len(part)
+        place[at] = i
+    out = []
+    for span in spans:
+        cuts = [c for c in span if c in place]
+        for a, e in zip(cuts, cuts[1:]):
+            good = _plausible(raw[a:e], written)
+            if good is not None and good != word[place[a] : place[e]]:
+                out.append((place[a], place[e], good))
+    return out
+
+
+def replaced(word: str, parts: list[tuple[int, int, str]], model: Model | None = None) -> str:
+    """The word with its segments decoded; with a model only those that are likelier so, behind what stands before them."""
+    out, at = "", 0
+    for first, end, good in parts:
+        out += word[at:first]
+        stands = word[first:end]
+        if model is not None and model.likelihood(good, out) <= model.likelihood(stands, out):
+            good = stands
+        out, at = out + good, end
+    return out + word[at:]
+
+
 @lru_cache(maxsize=65536)
 def _kind(c: str) -> str:
     """L, C, G, H: letter of a script; S symbol, P punctuation, N digit, X what no text has."""
@@ -153,6 +224,17 @@ class Model:
         self.counts = counts.tolist()
         self.total = float(counts[TABLES[2][0] :].sum()) + 1.0
 
+    def likelihood(self, part: str, before: str) -> float:
+        """Score of a part of a word behind what stands before it, whatever follows."""
+        left = before[-2:]
+        three, two, one = grams(left + part)
+        n, total, out = self.counts, self.total, 0.0
+        for i in range(len(left), len(left) + len(part)):
+            own = (n[one[i + 2]] + 0.2) / (total + 2000.0)
+            pair = (n[two[i + 1]] + 2.0 * own) / (n[one[i + 1]] + 2.0)
+            out += math.log((n[three[i]] + 2.0 * pair) / (n[two[i]] + 2.0))
+        return out - ODD_COST * (oddness(left + part) - oddness(left))
+
     def score(self, word: str) -> float:
         """Logarithm of a word's probability, less the cost of odd shapes."""
         three, two, one = grams(word)
@@ -171,7 +253,7 @@ def lost_before(word: str) -> bool:
     return any(b"\xef\xbf\xbd" in raw for read in READ_AS_SINGLE if (raw := to_bytes(word, read)) is not None)
 
 
-def candidates(word: str) -> list[tuple[str, str, str, bool]]:
+def candidates(word: str, model: Model | None = None) -> list[tuple[str, str, str, bool]]:
     """What a word may have been: (text, read as, written in, found by structure alone)."""
     out: dict[str, tuple[str, str, str, bool]] = {}
     high = sum(c > "\x7f" for c in word)
@@ -180,29 +262,21 @@ def candidates(word: str) -> list[tuple[str, str, str, bool]]:
         if text != word and "�" not in text and text not in out:
             out[text] = (text, read, written, sure)
 
-    for read in (*READ_AS_SINGLE, *READ_AS_DOUBLE):
+    def add_segments(read: str, written: str) -> None:
+        if parts := segments(word, read, written):
+            add(replaced(word, parts), read, written, False)
+            if model is not None:
+                add(replaced(word, parts, model), read, written, False)
+
+    for read in READ_AS_SINGLE:
         raw = to_bytes(word, read)
         if raw is None:
             continue
-        if read in READ_AS_DOUBLE:
-            try:
-                add(raw.decode("utf-8"), read, "utf-8", False)
-            except UnicodeDecodeError:
-                pass
-            if 0 < len(raw) < 400:
-                for written in WRITTEN_SINGLE[:5]:
-                    try:
-                        add(raw.decode(written), read, written, False)
-                    except UnicodeDecodeError:
-                        pass
-            continue
         text, covered, made = decode_spans(word, raw, UTF8_SPANS, "utf-8")
         if covered:
             add(text, read, "utf-8", covered == high)
         for written in WRITTEN_DOUBLE:
-            text, covered, made = decode_spans(word, raw, GBK_SPANS, written)
-            if covered == high:
-                add(text, read, written, False)
+            add_segments(read, written)
         if 0 in raw:
             continue
         for written in WRITTEN_SINGLE:
@@ -211,6 +285,16 @@ def candidates(word: str) -> list[tuple[str, str, str, bool]]:
                     add(raw.decode(written), read, written, False)
                 except UnicodeDecodeError:
                     pass
+    for read in READ_AS_DOUBLE:
+        for written in ("utf-8", *WRITTEN_DOUBLE):
+            if written != read:
+                add_segments(read, written)
+        raw = to_bytes(word, read)
+        for written in WRITTEN_SINGLE[:5] if raw else ():
+            try:
+                add(raw.decode(written), read, written, False)
+            except UnicodeDecodeError:
+                pass
     return list(out.values())
 
 
@@ -239,17 +323,18 @@ class Detector:
             return "", "lost"
         mine = self.model.score(word)
         best = (mine + MARGIN, word, "")
-        level = [(word, "")]
+        level, known = [(word, "")], {word}
         for _ in range(3):  # text may have been garbled more than once
             deeper = []
             for now, how in level:
-                for text, read, written, sure in candidates(now):
+                for text, read, written, sure in candidates(now, self.model):
                     score, said = self.model.score(text) + STRUCTURE_BONUS * sure, f"{how}, {written} as {read}" if how else f"{written} as {read}"
                     if score > best[0]:
                         best = (score, text, said)
-                    if sure:
+                    if sure and text not in known:
+                        known.add(text)
                         deeper.append((text, said))
-            level = deeper[:8]
+            level = deeper
         return (best[1], best[2]) if best[2] else None
 
     def value(self, text: str) -> tuple[str | None, str] | None:

@@ -55,3 +55,17 @@ def test_automaton_decodes_spans_only(read):
     table = {b: c for c, b in M._table(read).items()}
     text = "a " + "".join(table[b] for b in "ü中".encode()) + " z"
     assert M.decode_spans(text, M.to_bytes(text, read), M.UTF8_SPANS, "utf-8") == ("a ü中 z", 5, 2)
+
+
+def test_spans_in_a_part_of_a_word(spark):
+    parts = [
+        ("水表已检查，", "临时存放包裹", "", "utf-8", "gb18030"),
+        ("水表已检查，", "包裹已退回", "", "gb18030", "latin-1"),
+        ("包裹", "阀门重新计数", "夜班", "gb18030", "cp1252"),
+        ("", "d’eau", "", "utf-8", "gb18030"),
+        ("水表已检查，" * 40, "临时存放包裹", "", "utf-8", "gb18030"),
+    ]
+    clean = [(i, t) for i, t, _ in corpus()[:2500]] + [(3000 + i, f"{a}{b}{c}") for i in range(20) for a, b, c, _, _ in parts]
+    bad = [(-1 - i, a + b.encode(written).decode(read) + c) for i, (a, b, c, written, read) in enumerate(parts)]
+    got = {r.id: r.restored for r in M.garbled(spark.createDataFrame(clean + bad, "id bigint, t string"), "id", "t").collect()}
+    assert got == {-1 - i: a + b + c for i, (a, b, c, _, _) in enumerate(parts)}
