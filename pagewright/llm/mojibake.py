@@ -4,15 +4,18 @@ Characters are mapped back to the bytes of a legacy encoding, an automaton over
 multibyte spans (UTF-8, GBK), and only these spans are decoded. Where both encodings have one byte a character there is
 no byte structure: the whole word is decoded instead. Every candidate competes with the text as it stands under a
 character model (hashed trigrams of all non-ASCII words, counted over all rows) and a prior against shapes that no
-writing has. Values with replacement characters can't be restored and are reported as such.
+writing has. Values with replacement characters can't be restored and are reported as such; so are words whose characters
+became question marks, where an undamaged word elsewhere in the column has the other letters at the same places.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -45,6 +48,11 @@ STRUCTURE_BONUS = 1.5
 ODD_COST = 3.0
 _LOST = re.compile("�")
 _ASKED = re.compile(r"(?:^|(?<=[^\W\d_]))\?(?=[^\W\d_])")
+#: Encodings that make question marks of the characters they don't have.
+LOSSY = ("ascii", *READ_AS_SINGLE, "gb2312", "big5", "shift_jis", "euc_kr")
+#: So many question marks behind the last word of a value are punctuation.
+CLOSING_MARKS = 3
+_EDGES = re.compile(r"^(?:[^\w?]|[\d_])+|(?:[^\w?]|[\d_])+$")
 _SPLIT = re.compile(r"[ \t\n\r]+")
 
 
@@ -253,6 +261,39 @@ def lost_before(word: str) -> bool:
     return any(b"\xef\xbf\xbd" in raw for read in READ_AS_SINGLE if (raw := to_bytes(word, read)) is not None)
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def core(word: str) -> str:
+    """A word without the punctuation and digits around it; question marks stay."""
+    return _EDGES.sub("", word)
+
+
+def lossy_shapes(word: str) -> set[str]:
+    """What an undamaged word looks like with question marks for characters, or for their UTF-8 bytes."""
+    out = {word.encode(e, "replace").decode(e, "replace") for e in LOSSY}
+    out.add("".join(c if c < "\x80" else "?" * len(c.encode("utf-8", "surrogatepass")) for c in word))
+    return {x for x in out if "?" in x and x != word}
+
+
+def asked_shape(word: str) -> tuple[str, str] | None:
+    """The core of a word that may have lost characters as question marks, and what stands before those that end it."""
+    shape = core(word)
+    if "?" not in shape or shape == "?":
+        return None
+    stem = shape.rstrip("?")
+    return shape, stem if stem and "?" not in stem and stem != shape else ""
+
+
+class Learned(NamedTuple):
+    """What is counted over all rows: n-grams, and hashes of shapes with question marks that undamaged words have."""
+
+    counts: np.ndarray
+    lost: frozenset[int]
+    stems: frozenset[int]  # what stands before closing question marks and occurs without them too
+
+
 def candidates(word: str, model: Model | None = None) -> list[tuple[str, str, str, bool]]:
     """What a word may have been: (text, read as, written in, found by structure alone)."""
     out: dict[str, tuple[str, str, str, bool]] = {}
@@ -265,7 +306,7 @@ def candidates(word: str, model: Model | None = None) -> list[tuple[str, str, st
     def add_segments(read: str, written: str) -> None:
         if parts := segments(word, read, written):
             add(replaced(word, parts), read, written, False)
-            if model is not None:
+            if model is not None and len(parts) > 1:
                 add(replaced(word, parts, model), read, written, False)
 
     for read in READ_AS_SINGLE:
@@ -301,8 +342,8 @@ def candidates(word: str, model: Model | None = None) -> list[tuple[str, str, st
 class Detector:
     """Decides word by word; what it decided is kept, up to a bound."""
 
-    def __init__(self, counts: np.ndarray) -> None:
-        self.model = Model(counts)
+    def __init__(self, counts: np.ndarray, lost: frozenset[int] = frozenset(), stems: frozenset[int] = frozenset()) -> None:
+        self.model, self.lost, self.stems = Model(counts), lost, stems
         self.words: dict[str, tuple[str, str] | None] = {}
 
     def word(self, word: str) -> tuple[str, str] | None:
@@ -317,6 +358,8 @@ class Detector:
     def _decide(self, word: str) -> tuple[str, str] | None:
         if _LOST.search(word):
             return "", "lost"
+        if "?" in word and (asked := asked_shape(word)) is not None and _hash(asked[0]) in self.lost and not (asked[1] and _hash(asked[1]) in self.stems):
+            return "", "lost"
         if word.isascii():
             return ("", "lost") if _ASKED.search(word) and not re.search(r"[/=&]", word) else None
         if lost_before(word):
@@ -340,7 +383,10 @@ class Detector:
     def value(self, text: str) -> tuple[str | None, str] | None:
         """(restored text or None, encodings) of a value that is garbled wholly or in part."""
         found: dict[str, tuple[str, str]] = {}
-        for w in _SPLIT.split(text):
+        words = _SPLIT.split(text.strip(" \t\n\r"))
+        if len(words) > 1 and len(words[-1]) <= CLOSING_MARKS and not words[-1].strip("?"):
+            words.pop()
+        for w in words:
             if (not w.isascii() or "?" in w) and (f := self.word(w)):
                 found[w] = f
         if not found:
@@ -357,8 +403,9 @@ def _suspect(column: str):
     return c.isNotNull() & ((F.octet_length(c) != F.char_length(c)) | c.contains("?"))
 
 
-def train(values: DataFrame, column: str) -> np.ndarray:
-    """The character model over all values: MODEL_SIZE counts, summed on the executors. Only this fixed-size table comes to the driver."""
+def train(values: DataFrame, column: str) -> Learned:
+    """The character model and the shapes of lost words over all values, summed on the executors. To the driver come a table
+    of fixed size, MODEL_SIZE counts, and of the distinct shapes with question marks those that undamaged words have."""
 
     def count(batches):
         import collections
@@ -367,46 +414,81 @@ def train(values: DataFrame, column: str) -> np.ndarray:
 
         table = np.zeros(MODEL_SIZE, dtype=np.int64)
         seen: collections.Counter[str] = collections.Counter()
+        plain: set[str] = set()
+        marks: dict[tuple[int, int], int] = {}  # (1 shape or 2 stem, hash): 1 in undamaged words, 2 asked
+
+        def mark(kind: int, text: str, bit: int) -> None:
+            at = (kind, _hash(text))
+            marks[at] = marks.get(at, 0) | bit
 
         def flush():
             for word, n in seen.items():
-                for part in grams(word):
-                    for i in part:
-                        table[i] += n
+                if not word.isascii():
+                    for part in grams(word):
+                        for i in part:
+                            table[i] += n
+                if "?" not in word:
+                    bare = core(word)
+                    mark(2, bare, 1)
+                    for shape in lossy_shapes(bare):
+                        mark(1, shape, 1)
+                elif (asked := asked_shape(word)) is not None:
+                    mark(1, asked[0], 2)
+                    if asked[1]:
+                        mark(2, asked[1], 2)
             seen.clear()
+            for bare in {core(w) for w in plain}:
+                if bare:
+                    mark(2, bare, 1)
+            plain.clear()
+
+        def marked():
+            return pd.DataFrame({"kind": [k for k, _ in marks], "at": [h for _, h in marks], "n": list(marks.values())})
 
         for batch in batches:
             for text in batch["t_"]:
+                if text.isascii() and "?" not in text:
+                    plain.update(text.split())
+                    continue
                 for w in _SPLIT.split(text):
-                    if not w.isascii() and "�" not in w:
+                    if w.isascii() and "?" not in w:
+                        plain.add(w)
+                    elif "�" not in w:
                         seen[w] += 1
-            if len(seen) > 100_000:
+            if len(seen) + len(plain) > 100_000:
                 flush()
+            if len(marks) > 1_000_000:
+                yield marked()
+                marks.clear()
         flush()
         at = np.flatnonzero(table)
         if len(at):
-            yield pd.DataFrame({"at": at.astype("int64"), "n": table[at]})
+            yield pd.DataFrame({"kind": 0, "at": at.astype("int64"), "n": table[at]})
+        if marks:
+            yield marked()
 
-    parts = values.where(_suspect(column)).select(F.col(column).alias("t_")).mapInPandas(count, "at bigint, n bigint")
-    rows = parts.groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    parts = values.where(F.col(column).isNotNull()).select(F.col(column).alias("t_")).mapInPandas(count, "kind int, at bigint, n bigint")
+    both = parts.groupBy("kind", "at").agg(F.sum("n").alias("n"), F.bit_or("n").alias("bits"))
+    rows = both.where((F.col("kind") == 0) | (F.col("bits") == 3)).toPandas()
     counts = np.zeros(MODEL_SIZE, dtype=np.int64)
-    counts[rows["at"].to_numpy()] = rows["n"].to_numpy()
-    return counts
+    grammed = rows[rows["kind"] == 0]
+    counts[grammed["at"].to_numpy()] = grammed["n"].to_numpy()
+    return Learned(counts, *(frozenset(rows.loc[rows["kind"] == k, "at"].tolist()) for k in (1, 2)))
 
 
 _DETECTORS: dict[int, Detector] = {}
 
 
-def garbled(rows: DataFrame, key: str, column: str, counts: np.ndarray | None = None) -> DataFrame:
+def garbled(rows: DataFrame, key: str, column: str, learned: Learned | None = None) -> DataFrame:
     """Rows whose text was read in a wrong encoding, wholly or in part: key, text, restored (NULL: lost), encodings.
 
     The model is counted over all values of the same table unless given. NULL and empty texts are never garbled, repeated
     rows count each, very long texts are judged word by word like others.
     """
     spark = rows.sparkSession
-    counts = train(rows, column) if counts is None else counts
-    small = np.minimum(counts, 2**31 - 1).astype(np.int32)
-    model = spark.sparkContext.broadcast(small)  # MODEL_SIZE * 4 bytes, 9.6 MB at any size of the data
+    learned = train(rows, column) if learned is None else learned
+    small = np.minimum(learned.counts, 2**31 - 1).astype(np.int32)
+    model = spark.sparkContext.broadcast((small, learned.lost, learned.stems))  # 9.6 MB of counts at any size of the data
     kind = rows.schema[key].dataType.simpleString()
 
     def judge(batches):
@@ -415,7 +497,7 @@ def garbled(rows: DataFrame, key: str, column: str, counts: np.ndarray | None =
         ident = id(model)
         if ident not in _DETECTORS:
             _DETECTORS.clear()
-            _DETECTORS[ident] = Detector(model.value)
+            _DETECTORS[ident] = Detector(*model.value)
         judged = _DETECTORS[ident]
         for batch in batches:
             keys, texts, fixed, hows = [], [], [], []

@@ -69,3 +69,11 @@ def test_spans_in_a_part_of_a_word(spark):
     bad = [(-1 - i, a + b.encode(written).decode(read) + c) for i, (a, b, c, written, read) in enumerate(parts)]
     got = {r.id: r.restored for r in M.garbled(spark.createDataFrame(clean + bad, "id bigint, t string"), "id", "t").collect()}
     assert got == {-1 - i: a + b + c for i, (a, b, c, _, _) in enumerate(parts)}
+
+
+def test_question_marks_for_letters_of_a_known_word(spark):
+    rows = [(i, t) for i, t, _ in corpus()[:2500]] + [(3000, "skrzynia na żądanie"), (3001, "Größe und łódzka"), (3002, "chodź, wie wieś"), (3003, "ça d’été")]
+    bad = [(-1, "skrzynia gotowe na ??danie"), (-2, "Gr??e"), (-3, "ulica ?ódzka,"), (-4, "????????? ????????? сменой"), (-5, "?? ??????? ????"), (-6, "???????????"), (-7, "d?été".replace("?", "’").encode("latin-1", "replace").decode("latin-1"))]
+    fine = [(-20, "wie?"), (-21, "wie ??"), (-22, "¿confirmado?"), (-23, "vrai ?"), (-24, "Schlüssel?"), (-25, "x??y"), (-26, "包裹已退回?")]
+    got = {r.id: r.restored for r in M.garbled(spark.createDataFrame(rows + bad + fine, "id bigint, t string"), "id", "t").collect()}
+    assert got == {i: None for i, _ in bad}
