@@ -6,23 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def reassemble(chunks: DataFrame, key: str, seq: str, data: str) -> DataFrame:
+def reassemble(chunks: DataFrame, key: str, seq: str, data: str, size: str | None = None) -> DataFrame:
     """Values from their pieces: key, value, n_chunks, state.
 
-    state: `ok`, `gap` (a number from 0 on is missing) or `conflict` (two different pieces with one number); the value
-    is NULL unless ok. Exactly repeated pieces count once, rows with a NULL key or number are left out. Only the pieces
+    state: `ok`, `gap` (a number from 0 on is missing), `conflict` (two different pieces with one number) or, with `size`,
+    `short` (no gap, but the pieces' length differs from the one expected, as when the last piece is missing); the value
+    is NULL unless ok. `size` is a column of the chunks with the length of the whole value, in characters or bytes as
+    `data` is; where it is NULL the length isn't checked. Exactly repeated pieces count once, rows with a NULL key or number are left out. Only the pieces
     of one value meet in one row.
     """
     pieces = chunks.where(F.col(key).isNotNull() & F.col(seq).isNotNull())
-    once = pieces.groupBy(key, seq).agg(F.max(data).alias("d_"), F.min(data).alias("d2_"))
+    once = pieces.groupBy(key, seq).agg(F.max(data).alias("d_"), F.min(data).alias("d2_"), F.max(F.col(size) if size else F.lit(None)).cast("bigint").alias("size_"))
     whole = once.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct(F.col(seq).alias("s"), F.col("d_").alias("d")))).alias("c_"),
         F.count(F.lit(1)).alias("n_chunks"),
         F.max(seq).alias("top_"),
         F.min(seq).alias("low_"),
+        F.sum(F.length("d_").cast("bigint")).alias("length_"),
+        F.max("size_").alias("size_"),
         F.max(~F.col("d_").eqNullSafe(F.col("d2_"))).alias("twice_"),
     )
-    state = F.when(F.col("twice_"), "conflict").when((F.col("top_") + 1 != F.col("n_chunks")) | (F.col("low_") != 0), "gap").otherwise("ok")
+    state = F.when(F.col("twice_"), "conflict").when((F.col("top_") + 1 != F.col("n_chunks")) | (F.col("low_") != 0), "gap").when(F.col("length_") != F.col("size_"), "short").otherwise("ok")
     parts = F.transform("c_", lambda c: c["d"])
     kind = chunks.schema[data].dataType.simpleString()
     joined: Column = F.array_join(parts, "") if kind == "string" else F.aggregate(parts, F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x))

@@ -487,12 +487,12 @@ def _pieces(spark, folder):
     rows = table(spark, folder, "documents").where(F.length("text") > 0)
     n = F.ceil(F.length("text") / 1996).cast("int")
     cut = rows.select("doc_id", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"))
-    return cut.select("doc_id", "seq", F.expr("substring(text, seq * 1996 + 1, 1996)").alias("data"))
+    return cut.select("doc_id", "seq", F.length("text").alias("size"), F.expr("substring(text, seq * 1996 + 1, 1996)").alias("data"))
 
 
 @query("SELECT doc_id, text AS value, CAST((length(text) + 1995) // 1996 AS BIGINT) AS n_chunks FROM documents WHERE length(text) > 0")
 def toast_reassemble(spark, folder):
-    return toast.reassemble(_pieces(spark, folder), "doc_id", "seq", "data").select("doc_id", "value", "n_chunks")
+    return toast.reassemble(_pieces(spark, folder), "doc_id", "seq", "data", "size").select("doc_id", "value", "n_chunks")
 
 
 @query("SELECT doc_id, CASE WHEN n > 1 AND doc_id % 3 = 0 THEN 'gap' ELSE 'ok' END AS state FROM (SELECT doc_id, (length(text) + 1995) // 1996 n FROM documents WHERE length(text) > 0)")
@@ -501,7 +501,16 @@ def toast_gap_check(spark, folder):
     pieces = _pieces(spark, folder)
     several = F.max("seq").over(Window.partitionBy("doc_id")) > 0
     pieces = pieces.withColumn("several", several).where(~((F.col("doc_id") % 3 == 0) & F.col("several") & (F.col("seq") == 0)))
-    return toast.reassemble(pieces, "doc_id", "seq", "data").select("doc_id", "state")
+    return toast.reassemble(pieces, "doc_id", "seq", "data", "size").select("doc_id", "state")
+
+
+@query("SELECT doc_id, CASE WHEN (length(text) + 1995) // 1996 > 1 THEN 'short' ELSE 'ok' END AS state FROM documents WHERE length(text) > 0")
+def toast_short_check(spark, folder):
+    """The last of several pieces is missing for every text."""
+    pieces = _pieces(spark, folder)
+    last = F.max("seq").over(Window.partitionBy("doc_id"))
+    pieces = pieces.withColumn("last", last).where((F.col("last") == 0) | (F.col("seq") < F.col("last")))
+    return toast.reassemble(pieces, "doc_id", "seq", "data", "size").select("doc_id", "state")
 
 
 @query("SELECT doc_id, b AS size, CAST(greatest((b + 511) // 512 - 2, 0) AS BIGINT) AS n_holes FROM (SELECT doc_id, CAST(octet_length(encode(text)) AS INTEGER) b FROM documents WHERE length(text) > 0)")

@@ -89,3 +89,11 @@ def test_meta_round_trip(cluster, tmp_path):
 def test_layouts(version):
     for name in ("pg_class", "pg_attribute", "pg_type", "pg_index", *(n for n in ("pg_enum", "pg_inherits") if n in CATALOG_OIDS)):
         assert parse_columns(catalog_layout(name, version))
+
+
+def test_pieces_without_their_last_are_short(spark):
+    from pagewright.operators.toast import reassemble
+
+    rows = [(1, 0, b"ab", 5), (1, 1, b"cd", 5), (2, 0, b"ab", 3), (2, 1, b"c", 3), (3, 0, b"a", None), (4, 1, b"a", 2)]
+    got = reassemble(spark.createDataFrame(rows, "id int, seq int, data binary, size bigint"), "id", "seq", "data", "size").collect()
+    assert {r.id: (r.state, r.value) for r in got} == {1: ("short", None), 2: ("ok", b"abc"), 3: ("ok", b"a"), 4: ("gap", None)}
