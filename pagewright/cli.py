@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -59,7 +60,7 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
 
 def lines(df, a: argparse.Namespace, name: str):
     """One text column of the chosen format."""
-    columns = [c for c in df.columns if c != "_state"]
+    columns = [c for c in df.columns if c not in ("_state", "_toast_state")]
     if a.data:
         made = formatting.csv_line(df, columns, a.delimiter or ",")
     elif a.text:
@@ -107,9 +108,12 @@ def main(argv: list[str] | None = None) -> None:
         if a.ddl:
             print("\n".join(cluster.ddl(name)))
             continue
-        rows = cluster.read(name, mode, a.fields.split(",") if a.fields else None, clog, **options)
+        rows = cluster.read(name, mode, a.fields.split(",") if a.fields else None, clog, toast_state=True, **options)
         if a.limit:
             rows = rows.limit(a.limit)
+        lost = rows.where(F.col("_toast_state").isNotNull()).count()
+        if lost:
+            print(f"{name}: {lost} rows with out-of-line values that aren't whole, exported as NULL", file=sys.stderr)
         out = lines(rows, a, name.rpartition(".")[2])
         if a.output:
             guard_output(a.output, [a.datadir])
@@ -118,7 +122,7 @@ def main(argv: list[str] | None = None) -> None:
             if a.sql:
                 print(session_header(timezone=a.tz), end="")
             if a.header:
-                print(formatting.csv_header([c for c in rows.columns if c != "_state"], a.delimiter or ","))
+                print(formatting.csv_header([c for c in rows.columns if c not in ("_state", "_toast_state")], a.delimiter or ","))
             for r in out.toLocalIterator():
                 print(r.value)
 

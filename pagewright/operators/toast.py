@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.plans.skew import skew_join
+
 
 def reassemble(chunks: DataFrame, key: str, seq: str, data: str, size: str | None = None) -> DataFrame:
     """Values from their pieces: key, value, n_chunks, state.
@@ -33,10 +35,15 @@ def reassemble(chunks: DataFrame, key: str, seq: str, data: str, size: str | Non
     return whole.select(key, "n_chunks", state.alias("state"), F.when(state == "ok", joined).alias("value"))
 
 
-def resolve_pointers(rows: DataFrame, pointer: str, values: DataFrame, key: str) -> DataFrame:
-    """Rows with their out-of-line values (left join): plus value and toast_state (`missing` where no piece exists)."""
-    values = values.select(F.col(key).alias(pointer), "value", F.col("state").alias("toast_state"))
-    joined = rows.join(values, pointer, "left")
+def resolve_pointers(rows: DataFrame, pointer: str, values: DataFrame, key: str, size: Column | None = None) -> DataFrame:
+    """Rows with their out-of-line values (left join): plus value and toast_state (`missing` where no piece exists, `short`
+    where the value's length isn't `size`). Rows without a pointer are spread, pointers that many rows share are salted."""
+    values = values.select(F.col(key).alias("to_"), "value", F.col("state").alias("toast_state"))
+    none = -1 - F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 31))  # matches nothing
+    joined = skew_join(rows.withColumn("to_", F.coalesce(F.col(pointer).cast("bigint"), none)), values, ["to_"], "left").drop("to_")
+    if size is not None:
+        short = (F.col("toast_state") == "ok") & (F.length("value") != size)
+        joined = joined.withColumn("toast_state", F.when(short, "short").otherwise(F.col("toast_state"))).withColumn("value", F.when(F.col("toast_state") == "ok", F.col("value")))
     return joined.withColumn("toast_state", F.when(F.col(pointer).isNotNull(), F.coalesce("toast_state", F.lit("missing"))))
 
 

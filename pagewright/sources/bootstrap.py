@@ -8,12 +8,14 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.functions.decode import OIDS
+from pagewright.functions.compress import decompress
+from pagewright.functions.decode import OIDS, decode
 from pagewright.operators.catalog import FIRST_USER_OID
 from pagewright.operators.visibility import admitted, visibility
 from pagewright.sources.control import databases, relation_path
 from pagewright.sources.heap import register
 from pagewright.sources.layout import ALIGNS, ColumnLayout, dump_columns
+from pagewright.sources.pages import _TEXTS, _decoded
 
 # Oids of the catalogs, and their columns by release (PostgreSQL 12 to 17).
 CATALOG_OIDS = {"pg_type": 1247, "pg_attribute": 1249, "pg_proc": 1255, "pg_class": 1259, "pg_authid": 1260, "pg_auth_members": 1261, "pg_database": 1262, "pg_constraint": 2606, "pg_index": 2610, "pg_inherits": 2611, "pg_largeobject": 2613, "pg_namespace": 2615, "pg_sequence": 2224, "pg_enum": 3501, "pg_largeobject_metadata": 2995, "pg_partitioned_table": 3350, "pg_attrdef": 2604, "pg_description": 2609, "pg_extension": 3079, "pg_depend": 2608}
@@ -66,6 +68,22 @@ def find_by_content(folder: str, names: tuple[str, ...], least: int = 2) -> str
     return None
 
 
+def _out_of_line(column: ColumnLayout, encoding: str):
+    """A function of a stored value, its raw size and its stored size with method: the column's value, unpacked if need be."""
+
+    def unpack(stored, raw_size, info):
+        if stored is None:
+            return None
+        stored = bytes(stored)
+        if info & 0x3FFFFFFF < raw_size - 4:  # behind four bytes of size and method
+            stored = decompress(stored[4:], raw_size - 4, info >> 30)
+        if stored is None or column.kind == "bytea":
+            return stored
+        return _decoded(stored, encoding) if column.kind in _TEXTS else decode(column.kind, stored)
+
+    return F.udf(unpack, column.spark_type)
+
+
 class Cluster:
     """A data folder without its server. Everything it gives is a DataFrame; only file names are looked at on the driver."""
 
@@ -138,12 +156,16 @@ class Cluster:
             raise LookupError(f"no relation {name}")
         return found[0].asDict()
 
-    def read(self, name: str, mode: str = "live", select: list[str] | None = None, clog: DataFrame | None = None, **options: str) -> DataFrame:
-        """Rows of a table: decoded columns without headers; mode live, all or deleted (the last two add `_state`)."""
+    def read(self, name: str, mode: str = "live", select: list[str] | None = None, clog: DataFrame | None = None, toast_state: bool = False, **options: str) -> DataFrame:
+        """Rows of a table: decoded columns without headers; mode live, all or deleted (the last two add `_state`).
+
+        Out-of-line values are joined with their pieces. One that can't be had whole is NULL; toast_state adds
+        `_toast_state`, a map of those columns and their states (missing, gap, short, conflict, broken), NULL where all is well.
+        """
         rel = self.find(name)
         columns = self.layout(rel["oid"])
         path = relation_path(self.root, self.database, rel["relfilenode"], rel["reltablespace"])
-        reader = self.spark.read.format("pgheap").option("columns", dump_columns(columns))
+        reader = self.spark.read.format("pgheap").option("columns", dump_columns(columns)).option("toast", "full")
         if select:
             reader = reader.option("select", ",".join(select))
         rows = reader.options(**options).load(path)
@@ -155,17 +177,50 @@ class Cluster:
             rows = with_status(rows, F.col("_xmax"), F.col("_xmax") != 0, clog, "out_status_")
             state = visibility(F.col("_infomask"), F.col("_xmax"), F.col("in_status_"), F.col("out_status_"), F.col("_xmin"))
         rows = rows.withColumn("_state", state).where(admitted(F.col("_state"), mode))
-        shown = [c for c in rows.columns if not c.startswith("_") and c not in ("in_status_", "out_status_")]
-        return rows.select(*shown, *([] if mode == "live" else ["_state"]))
-
-    def toast_values(self, name: str) -> DataFrame:
-        """Whole out-of-line values of a table: chunk_id, value, n_chunks, state."""
+        names = {c.name for c in columns if not c.dropped}
+        shown = [c for c in rows.columns if c in names]
+        rows, states = self._with_toast(rows, name, rel, [c for c in columns if f"{c.name}__toast" in rows.columns], mode, options)
+        pairs = F.map_filter(F.map_from_arrays(F.array(*[F.lit(c) for c, _ in states]), F.array(*[s for _, s in states])), lambda _, v: v.isNotNull()) if states else F.create_map().cast("map<string,string>")
+        state_map = F.when(F.size(pairs) > 0, pairs).alias("_toast_state")
+        return rows.select(*shown, *([] if mode == "live" else ["_state"]), *([state_map] if toast_state else []))
+
+    def _with_toast(self, rows: DataFrame, name: str, rel: dict, columns: list[ColumnLayout], mode: str, options: dict[str, str]) -> tuple[DataFrame, list[tuple[str, Column]]]:
+        """Rows with out-of-line values in place, and the state of each column that has any (NULL where whole)."""
+        from pagewright.operators.toast import resolve_pointers
+
+        if not columns:
+            return rows, []
+        # one row tells which columns have pointers, so that the others need no join
+        used = rows.agg(*[F.max(F.col(f"`{c.name}__toast`").isNotNull()).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+        columns = [c for c, there in zip(columns, used or ()) if there]
+        if not columns:
+            return rows, []
+        if rel["toast_filenode"]:
+            values = self.toast_values(name, mode, **{k: v for k, v in options.items() if k.lower() in ("pagesize", "pagetransform")})
+        else:
+            values = self.spark.createDataFrame([], "chunk_id bigint, value binary, state string")
+        states = []
+        for i, c in enumerate(columns):
+            pointer, raw, info = (f"{c.name}__toast{x}" for x in ("", "_raw", "_info"))
+            stored = F.col(f"`{info}`").bitwiseAND(0x3FFFFFFF)
+            rows = resolve_pointers(rows, pointer, values, "chunk_id", stored)
+            text = _out_of_line(c, options.get("encoding", "utf-8"))(F.col("value"), F.col(f"`{raw}`"), F.col(f"`{info}`"))
+            rows = rows.withColumn("value_", text)
+            broken = (F.col("toast_state") == "ok") & F.col("value_").isNull()
+            rows = rows.withColumn(f"state_{i}_", F.when(broken, "broken").when(F.col("toast_state") != "ok", F.col("toast_state")))
+            rows = rows.withColumn(c.name, F.when(F.col(f"`{pointer}`").isNotNull(), F.col("value_")).otherwise(F.col(f"`{c.name}`"))).drop("value", "value_", "toast_state")
+            states.append((c.name, F.col(f"state_{i}_")))
+        return rows, states
+
+    def toast_values(self, name: str, mode: str = "live", **options: str) -> DataFrame:
+        """Whole out-of-line values of a table: chunk_id, value, n_chunks, state. As stored: compressed ones aren't unpacked.
+        Dead rows need the dead pieces as well: all pieces count unless mode is live."""
         from pagewright.operators.toast import reassemble
 
         rel = self.find(name)
         path = relation_path(self.root, self.database, rel["toast_filenode"], rel["reltablespace"])
-        chunks = self.spark.read.format("pgheap").option("columns", "chunk_id oid, chunk_seq int4, chunk_data bytea").load(path)
-        chunks = chunks.where(admitted(visibility(F.col("_infomask"), F.col("_xmax"))))
+        chunks = self.spark.read.format("pgheap").option("columns", "chunk_id oid, chunk_seq int4, chunk_data bytea").options(**options).load(path)
+        chunks = chunks.where(admitted(visibility(F.col("_infomask"), F.col("_xmax")), "live" if mode == "live" else "all"))
         return reassemble(chunks.select("chunk_id", "chunk_seq", "chunk_data"), "chunk_id", "chunk_seq", "chunk_data")
 
     def count(self, name: str) -> int:

@@ -21,6 +21,9 @@ PAGES_AT_ONCE = 1024
 
 _HEAD = [("_file", T.StringType()), ("_page", T.LongType()), ("_item", T.IntegerType()), ("_xmin", T.LongType()), ("_xmax", T.LongType()), ("_infomask", T.IntegerType()), ("_infomask2", T.IntegerType()), ("_natts", T.IntegerType()), ("_hoff", T.IntegerType()), ("_ctid_page", T.LongType()), ("_ctid_item", T.IntegerType()), ("_quality", T.IntegerType())]
 
+#: Parts of the pointer to an out-of-line value: its id, its raw size, its stored size with the method in the top two bits.
+_POINTER = ("__toast", "__toast_raw", "__toast_info")
+
 
 def segments(path: str) -> list[str]:
     """A relation's segment files in order: the file itself, .1, .2, ... as far as they go without a gap."""
@@ -147,7 +150,7 @@ class HeapReader(DataSourceReader):
 
     def _batch(self, t: Tuples, file: str, names: list[str]) -> pa.RecordBatch:
         wanted = {n for n in names if not n.startswith("_")} - {"raw"}
-        wanted |= {n.removesuffix("__toast") for n in names if n.endswith("__toast")}
+        wanted |= {n.rpartition("__toast")[0] for n in names if n.endswith(_POINTER)}
         values, quality, pointers = decode_columns(t, self.columns, wanted, self.encoding) if wanted & {c.name for c in self.columns} else ({}, np.zeros(len(t), dtype=np.int32), {})
         h = t.head
         known = {
@@ -160,8 +163,8 @@ class HeapReader(DataSourceReader):
         for field in self.wanted.fields:
             if field.name in known:
                 arrays.append(known[field.name]())
-            elif field.name.endswith("__toast"):
-                arrays.append(pointers.get(field.name.removesuffix("__toast"), pa.nulls(len(t), pa.int64())))
+            elif field.name.endswith(_POINTER):
+                arrays.append(pointers.get("".join(field.name.rsplit("__toast", 1)), pa.nulls(len(t), pa.int64())))
             else:
                 arrays.append(values[field.name])
         return pa.RecordBatch.from_arrays(arrays, names=names)
@@ -170,7 +173,7 @@ class HeapReader(DataSourceReader):
 class HeapDataSource(DataSource):
     """Options: path (a relation's main file, a list or a glob), columns (`id int4, v text` or JSON), select (names of the
     columns to decode), pageSize, scanMode (auto, standard, carve), pagesPerPartition, encoding, toast (adds
-    `<column>__toast`, the value ids of out-of-line values), header (false leaves the `_` columns out), visibility (live, all
+    `<column>__toast`, the value ids of out-of-line values; full: sizes and method as well), header (false leaves the `_` columns out), visibility (live, all
     or deleted by hint bits, before anything is decoded; without it every tuple comes), pageTransform (`module:function`
     applied to each page's bytes and number).
 
@@ -192,8 +195,9 @@ class HeapDataSource(DataSource):
             if not columns:
                 raise ValueError("none of the selected columns exists")
         fields += [T.StructField(c.name, c.spark_type, True, {"pg_type": c.kind}) for c in columns]
-        if self.options.get("toast") == "true":
-            fields += [T.StructField(f"{c.name}__toast", T.LongType()) for c in columns if c.length == -1]
+        if self.options.get("toast") in ("true", "full"):
+            asked = _POINTER if self.options.get("toast") == "full" else _POINTER[:1]
+            fields += [T.StructField(f"{c.name}{suffix}", T.LongType()) for c in columns if c.length == -1 for suffix in asked]
         return T.StructType(fields)
 
     def reader(self, schema: T.StructType) -> DataSourceReader:

@@ -166,7 +166,8 @@ def _fixed(column: ColumnLayout, flat: np.ndarray, at: np.ndarray, valid: np.nda
 
 
 def decode_columns(t: Tuples, columns: list[ColumnLayout], wanted: set[str], encoding: str = "utf-8") -> tuple[dict[str, pa.Array], np.ndarray, dict[str, pa.Array]]:
-    """Values of the wanted columns, a quality mark per tuple, and out-of-line pointers by column.
+    """Values of the wanted columns, a quality mark per tuple, and out-of-line pointers by column: value ids, raw sizes (`_raw`)
+    and stored sizes with the method in the top two bits (`_info`).
 
     All tuples go through the columns side by side: each keeps its own position, moved past alignment and value.
     Attributes beyond a tuple's own number are NULL. Quality bits: 1 a value lies outside its tuple, 2 broken framing or
@@ -240,6 +241,7 @@ def decode_columns(t: Tuples, columns: list[ColumnLayout], wanted: set[str], enc
                     values[column.name] = pa.array([decode(column.kind, r) for r in raws], type=pa.string())
             if (there & external).any():
                 at = np.where(there & external, t.start + pos, 0)
-                pointers[column.name] = pa.array(_u32(flat, np.minimum(at + 10, max(0, top - 3))), mask=~(there & external))
+                for offset, suffix in ((10, ""), (2, "_raw"), (6, "_info")):
+                    pointers[column.name + suffix] = pa.array(_u32(flat, np.minimum(at + offset, max(0, top - 3))), mask=~(there & external))
         pos = np.where(there, pos + size, pos)
     return values, quality, pointers

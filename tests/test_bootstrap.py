@@ -1,6 +1,8 @@
 """A small cluster written file by file, found and read without a server."""
 
 import os
+import struct
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +99,21 @@ def test_pieces_without_their_last_are_short(spark):
     rows = [(1, 0, b"ab", 5), (1, 1, b"cd", 5), (2, 0, b"ab", 3), (2, 1, b"c", 3), (3, 0, b"a", None), (4, 1, b"a", 2)]
     got = reassemble(spark.createDataFrame(rows, "id int, seq int, data binary, size bigint"), "id", "seq", "data", "size").collect()
     assert {r.id: (r.state, r.value) for r in got} == {1: ("short", None), 2: ("ok", b"abc"), 3: ("ok", b"a"), 4: ("gap", None)}
+
+
+def test_out_of_line_values_are_read(spark, cluster):
+    """Whole, compressed, short, missing and in-line values of one column."""
+    folder = os.path.join(cluster.root, "base", "16384")
+    pointer = lambda raw, ext, value, method=0: bytearray(b"\x01\x12" + struct.pack("<IIII", raw + 4, ext | method << 30, value, 16403))
+    packed = struct.pack("<I", 24) + b"\x00abcdefgh\x01\x0d\x08"
+    old = {n: open(os.path.join(folder, n), "rb").read() for n in ("16401", "16404")}
+    try:
+        put(Path(folder), 16401, "id int4, gone int4, v text", [{"id": 1, "v": "a"}, {"id": 2, "v": pointer(6, 6, 7)}, {"id": 3, "v": pointer(24, len(packed), 9)}, {"id": 4, "v": pointer(9, 9, 7)}, {"id": 5, "v": pointer(5, 5, 55)}, {"id": 6, "v": None}])
+        chunks = [(7, 1, b"def"), (7, 0, b"abc"), (9, 0, packed)]
+        put(Path(folder), 16404, "chunk_id oid, chunk_seq int4, chunk_data bytea", [{"chunk_id": i, "chunk_seq": n, "chunk_data": d} for i, n, d in chunks])
+        rows = {r.id: (r.v, r._toast_state) for r in cluster.read("t", toast_state=True).collect()}
+        assert rows == {1: ("a", None), 2: ("abcdef", None), 3: ("abcdefgh" * 3, None), 4: (None, {"v": "short"}), 5: (None, {"v": "missing"}), 6: (None, None)}
+        assert cluster.read("t").columns == ["id", "v"]
+    finally:
+        for n, data in old.items():
+            Path(folder, n).write_bytes(data)
