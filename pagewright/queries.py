@@ -54,6 +54,12 @@ def p2_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("id.forest", F.col("id.oid").alias("node_id"), F.col("root.oid").alias("root_id"), F.when(F.col("on_circle"), -1).otherwise(F.col("depth")).cast("int").alias("node_depth"), path.alias("path"), F.when(~F.col("on_circle"), F.col("size") - 1).alias("n_descendants"))
 
 
+def p2_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    """All proper descendants of every node of both forests, from the intervals; none of nodes on or below a circle."""
+    trees = hierarchy.materialize(hierarchy.heavy_paths(catalog_forests(spark, folder))).where("not on_circle")
+    return hierarchy.descendants(trees, trees).select("id.forest", F.col("id.oid").alias("node_id"), F.col("descendant.oid").alias("descendant_id"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return changefeed.current_tuples(table(spark, folder, "heap_tuple"), table(spark, folder, "clog_status")).select("rel_oid", "page_no", "item_no")
 
@@ -81,6 +87,6 @@ def p5_inherited(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (p1_found, p1_lifespans, p1_unified, p2_found, p2_hierarchy, p3_found, p3_rows, p5_found, p5_report, p5_inherited)
+    q.__name__: q for q in (p1_found, p1_lifespans, p1_unified, p2_found, p2_hierarchy, p2_descendants, p3_found, p3_rows, p5_found, p5_report, p5_inherited)
 }
 QUERIES |= registry.QUERIES

@@ -81,6 +81,8 @@ SQL: dict[str, str] = {
     "p5_found": f"WITH {_REFERENCES} SELECT DISTINCT ref_table, ref_id, reason FROM orphan",
     "p5_report": f"WITH {_REFERENCES} SELECT ref_table, date_trunc('month', seen_ts) AS period, reason, count(*) AS n FROM orphan GROUP BY ALL",
 }
+SQL["p2_descendants"] = f"""WITH RECURSIVE {_FORESTS}
+SELECT w.forest, w.cur AS node_id, w.oid AS descendant_id FROM walk w JOIN last l ON l.forest = w.forest AND l.oid = w.oid WHERE NOT l.again AND w.cur <> w.oid"""
 SQL["p5_inherited"] = f"""WITH RECURSIVE {_REFERENCES},
 direct AS (SELECT DISTINCT ref_table tbl, ref_id id, reason FROM orphan UNION SELECT 'table_meta', oid, 'missing' FROM cm WHERE cm.r.p <> 0 AND cm.r.p NOT IN (SELECT oid FROM cm)),
 links AS (SELECT 'table_meta' tbl, oid id, 'table_meta' ptbl, cm.r.p pid FROM cm UNION SELECT 'constr_row', con_oid, 'table_meta', confrelid FROM constr_row UNION SELECT 'constr_row', con_oid, 'table_meta', conrelid FROM constr_row
