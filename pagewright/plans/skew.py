@@ -26,6 +26,11 @@ def _name(stem: str, df: DataFrame) -> str:
     return stem
 
 
+def small(df: DataFrame, most_rows: int = 10_000) -> DataFrame:
+    """df marked for broadcast if it has at most most_rows rows, else as it is; counting stops beyond that bound."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def hot_hashes(df: DataFrame, keys: Sequence[str], least_rows: int | None = None) -> list[int]:
     """xxhash64 of each key combination with more than 1/SHARES of the rows (rows with a NULL key don't count)."""
     least = LEAST_ROWS if least_rows is None else least_rows
