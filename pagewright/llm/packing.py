@@ -5,16 +5,21 @@ from __future__ import annotations
 import random
 from bisect import bisect_left, insort
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.tokens import TOKENIZERS, token_counts
-from pagewright.plans.lineage import materialize
+from pagewright.plans.lineage import materialize, release
+from pagewright.plans.skew import small
 
-#: Items of a block, islands of a block, individuals of an island, children of an epoch, epochs.
-BLOCK, ISLANDS, POPULATION, CHILDREN, EPOCHS = 1500, 3, 5, 10, 2
+#: Items of a block, islands of a block, individuals of an island, children of an epoch.
+BLOCK, ISLANDS, POPULATION, CHILDREN = 6000, 3, 5, 10
+#: Epochs over all items, and over those of containers that were opened again.
+EPOCHS, LATER_EPOCHS = 2, 4
 #: Containers filled less than this share are opened again, their items go to another level's blocks.
-REOPEN_BELOW, LEVELS = 0.97, 4
+REOPEN_BELOW = 0.996
+#: A level must settle this share of a spec's items, or its containers stay as they are: levels grow with the logarithm of the items.
+LEAST_SETTLED = 0.05
 
 Solution = list[list[int]]
 
@@ -65,10 +70,18 @@ def mutate(bins: Solution, sizes: list[int], capacity: int, rng: random.Random)
     return best_fit(loose, sizes, capacity, [b[:] for k, b in enumerate(bins) if k not in opened])
 
 
-def first_population(sizes: list[int], capacity: int, rng: random.Random) -> list[Solution]:
-    """Best-fit decreasing, and the same with sizes blurred more and more."""
-    out = []
-    for p in range(POPULATION):
+def at_bound(bins: Solution, sizes: list[int], capacity: int) -> bool:
+    """Whether there are as few containers as the sum of sizes allows."""
+    return len(bins) * capacity - sum(sizes) < capacity
+
+
+def first_population(sizes: list[int], capacity: int, rng: random.Random, elites: list[Solution] | None = None) -> list[Solution]:
+    """The elites, or else best-fit decreasing, and the same with sizes blurred more and more. One that needs as few
+    containers as there can be stays alone."""
+    out = list(elites or [])
+    for p in range(len(out), POPULATION):
+        if out and at_bound(max(out, key=lambda s: fitness(s, sizes, capacity)), sizes, capacity):
+            break
         blur = 0.06 * p
         order = sorted(range(len(sizes)), key=lambda i: sizes[i] * rng.uniform(1 - blur, 1), reverse=True)
         out.append(best_fit(order, sizes, capacity, []))
@@ -77,11 +90,10 @@ def first_population(sizes: list[int], capacity: int, rng: random.Random) -> lis
 
 def evolve(population: list[Solution], sizes: list[int], capacity: int, rng: random.Random) -> list[Solution]:
     """One epoch: children replace the worst individual when they are better; the best one comes first."""
-    total = sum(sizes)
     scored = sorted(((fitness(s, sizes, capacity), s) for s in population), key=lambda x: -x[0])
     for _ in range(CHILDREN):
-        if len(scored[0][1]) * capacity - total < capacity:
-            break  # as few containers as the sum of sizes allows
+        if at_bound(scored[0][1], sizes, capacity):
+            break
         mother, father = rng.sample(scored, 2) if len(scored) > 1 else (scored[0], scored[0])
         child = crossover(mother[1], father[1], sizes, capacity, rng)
         if rng.random() < 0.4:
@@ -93,11 +105,12 @@ def evolve(population: list[Solution], sizes: list[int], capacity: int, rng: ran
     return [s for _, s in scored]
 
 
-_STATE = "spec_id int, capacity bigint, block bigint, island int, names array<string>, sizes array<bigint>, population array<array<array<int>>>, fit double"
+_STATE = "spec_id int, capacity bigint, block bigint, island int, sizes array<bigint>, elite array<array<int>>, fit double"
 
 
-def _epoch(number: int):
-    """mapInPandas function: rows of islands, with their elite guests from the neighbour, through one epoch."""
+def _epoch(number: int, level: int):
+    """mapInPandas function: islands through one epoch. An island keeps its elite only; the others of its population are
+    its neighbour's elite and new ones from a seed."""
 
     def run(batches):
         import pandas as pd
@@ -106,33 +119,29 @@ def _epoch(number: int):
             out = []
             for row in batch.itertuples(index=False):
                 sizes = [int(x) for x in row.sizes]
-                rng = random.Random(f"{row.spec_id}/{row.block}/{row.island}/{number}")
-                if number == 0:
-                    population = first_population(sizes, row.capacity, rng)
-                else:
-                    population = [[[int(i) for i in b] for b in s] for s in row.population]
-                    if row.guest is not None:
-                        population = [*population[:-1], [[int(i) for i in b] for b in row.guest]]
-                population = evolve(population, sizes, row.capacity, rng)
-                out.append((row.spec_id, row.capacity, row.block, row.island, row.names, row.sizes, population, fitness(population[0], sizes, row.capacity)))
-            yield pd.DataFrame(out, columns=["spec_id", "capacity", "block", "island", "names", "sizes", "population", "fit"])
+                rng = random.Random(f"{row.spec_id}/{level}/{row.block}/{row.island}/{number}")
+                elites = [[[int(i) for i in b] for b in s] for s in (row.elite, row.guest) if s is not None] if number else []
+                best = evolve(first_population(sizes, row.capacity, rng, elites), sizes, row.capacity, rng)[0]
+                out.append((row.spec_id, row.capacity, row.block, row.island, row.sizes, best, fitness(best, sizes, row.capacity)))
+            yield pd.DataFrame(out, columns=["spec_id", "capacity", "block", "island", "sizes", "elite", "fit"])
 
     return run
 
 
-def _pack_blocks(items: DataFrame, blocks: DataFrame) -> DataFrame:
+def _pack_blocks(items: DataFrame, blocks: DataFrame, level: int, tasks: int) -> DataFrame:
     """Pack each block of items (spec_id, capacity, name, size): spec_id, capacity, block, bin, name, size."""
-    placed = items.join(F.broadcast(blocks), "spec_id").withColumn("block", F.pmod(F.xxhash64("name", F.lit(7)), F.col("n_blocks")))
+    placed = items.join(small(blocks), "spec_id").withColumn("block", F.pmod(F.xxhash64("name", F.lit(level)), F.col("n_blocks")))
     # a block holds about BLOCK items whatever the number of items
-    grouped = placed.groupBy("spec_id", "capacity", "block").agg(F.sort_array(F.collect_list(F.struct("size", "name"))).alias("i"))
-    state = grouped.select("spec_id", "capacity", "block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("i.name").alias("names"), F.col("i.size").alias("sizes"))
-    state = materialize(state.repartition("spec_id", "block", "island").mapInPandas(_epoch(0), _STATE))
-    for number in range(1, EPOCHS):
-        elite = state.select("spec_id", "block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("population")[0].alias("guest"))
-        state = materialize(state.join(elite, ["spec_id", "block", "island"], "left").mapInPandas(_epoch(number), _STATE))
-    best = state.groupBy("spec_id", "capacity", "block").agg(F.max_by(F.struct("names", "sizes", F.col("population")[0].alias("bins")), F.struct("fit", -F.col("island"))).alias("b"))
-    bins = best.select("spec_id", "capacity", "block", "b.names", "b.sizes", F.posexplode("b.bins").alias("bin", "members"))
-    rows = bins.select("spec_id", "capacity", "block", "bin", F.explode(F.transform("members", lambda m: F.struct(F.element_at("names", m + 1).alias("name"), F.element_at("sizes", m + 1).alias("size")))).alias("m"))
+    grouped = materialize(placed.groupBy("spec_id", "capacity", "block").agg(F.sort_array(F.collect_list(F.struct("size", "name"))).alias("i")))
+    state = grouped.select("spec_id", "capacity", "block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("i.size").alias("sizes"))
+    state = materialize(state.repartition(tasks, "spec_id", "block", "island").mapInPandas(_epoch(0, level), _STATE))
+    for number in range(1, LATER_EPOCHS if level else EPOCHS):
+        elite = state.select("spec_id", "block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("elite").alias("guest"))
+        before, state = state, materialize(state.join(elite, ["spec_id", "block", "island"], "left").repartition(tasks, "spec_id", "block", "island").mapInPandas(_epoch(number, level), _STATE))
+        release(before)
+    best = state.groupBy("spec_id", "block").agg(F.max_by("elite", F.struct("fit", -F.col("island"))).alias("elite"))
+    bins = grouped.join(best, ["spec_id", "block"]).select("spec_id", "capacity", "block", "i", F.posexplode("elite").alias("bin", "members"))
+    rows = bins.select("spec_id", "capacity", "block", "bin", F.explode(F.transform("members", lambda m: F.element_at("i", m + 1))).alias("m"))
     return rows.select("spec_id", "capacity", "block", "bin", "m.name", "m.size")
 
 
@@ -141,30 +150,34 @@ def pack(items: DataFrame) -> DataFrame:
     name, size.
 
     Items are hashed into blocks of about BLOCK; each block is solved on ISLANDS islands whose elites migrate in a ring
-    between epochs. Containers that stay badly filled are opened again and their items packed once more among those of
-    all blocks, as long as that leaves fewer.
+    between epochs. Of a spec with several blocks the containers that stay below REOPEN_BELOW are opened and their items
+    packed once more, among those of all blocks, until what is left fits into one block or a level settles less than
+    LEAST_SETTLED of it.
     """
     items = materialize(items)
     done: list[DataFrame] = []
-    for level in range(LEVELS):
+    level = 0
+    while True:
         counts = items.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n"))
-        blocks = counts.select("spec_id", F.ceil(F.col("n") / BLOCK).alias("n_blocks"))
         sizes = {r.spec_id: r.n for r in counts.collect()}  # one row a spec
         if not sizes:
             break
-        packed = _pack_blocks(items, blocks)
+        blocks = counts.select("spec_id", F.ceil(F.col("n") / BLOCK).alias("n_blocks"))
+        islands = ISLANDS * sum(-(-n // BLOCK) for n in sizes.values())
+        packed = _pack_blocks(items, blocks, level, min(2 * islands, 8 * items.sparkSession.sparkContext.defaultParallelism))
         name = F.concat_ws("-", F.col("spec_id").cast("string"), F.lit(level).cast("string"), F.col("block").cast("string"), F.col("bin").cast("string"))
-        fills = packed.groupBy("spec_id", "block", "bin").agg((F.sum("size") / F.max("capacity")).alias("fill"))
-        packed = materialize(packed.join(fills, ["spec_id", "block", "bin"]).withColumn("container_id", name))
+        fills = F.sum("size").over(Window.partitionBy("spec_id", "block", "bin")) / F.col("capacity")
+        packed = materialize(packed.withColumn("fill", fills).withColumn("container_id", name))
         again = packed.where(F.col("fill") < REOPEN_BELOW)
         left = {r.spec_id: r.n for r in again.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-        # a spec goes on while it needed several blocks and most of its items are settled
-        going = [s for s, n in left.items() if sizes[s] > BLOCK and n <= 0.6 * sizes[s]] if level + 1 < LEVELS else []
+        going = [s for s, n in left.items() if sizes[s] > BLOCK and n <= (1 - LEAST_SETTLED) * sizes[s]]
         reopen = (F.col("fill") < REOPEN_BELOW) & F.col("spec_id").isin(going) if going else F.lit(False)
         done.append(packed.where(~reopen).select("spec_id", "container_id", "name", "size"))
         if not going:
             break
-        items = materialize(packed.where(reopen).select("spec_id", "capacity", "name", "size"))
+        before, items = items, materialize(packed.where(reopen).select("spec_id", "capacity", "name", "size"))
+        release(before)
+        level += 1
     kinds = items.schema
     out = items.sparkSession.createDataFrame([], f"spec_id int, container_id string, name string, size {kinds['size'].dataType.simpleString()}") if not done else done[0]
     for part in done[1:]:
@@ -187,7 +200,7 @@ def containers(documents: DataFrame, specs: DataFrame, key: str = "doc_id", colu
     if counts is None:
         raise ValueError("no container specification")
     counts = materialize(counts)
-    asked = counts.join(F.broadcast(specs.select("spec_id", F.col("capacity").cast("bigint").alias("capacity"), "tokenizer")), "tokenizer")
+    asked = counts.join(small(specs.select("spec_id", F.col("capacity").cast("bigint").alias("capacity"), "tokenizer")), "tokenizer")
     full = F.floor(F.col("n_tokens") / F.col("capacity")).cast("bigint")
     pieces = asked.select("spec_id", "capacity", key, "n_tokens", F.explode(F.sequence(F.lit(0).cast("bigint"), full)).alias("piece"))
     pieces = pieces.withColumn("start_token", F.col("piece") * F.col("capacity")).withColumn("size", F.least("capacity", F.col("n_tokens") - F.col("start_token"))).where("size > 0")
@@ -199,4 +212,4 @@ def containers(documents: DataFrame, specs: DataFrame, key: str = "doc_id", colu
     parts = F.split("name", "/(?=[0-9]+$)")
     rows = whole.unionByName(packed).withColumn(key, parts[0].cast(kind)).withColumn("piece", parts[1].cast("bigint"))
     specs = specs.select("spec_id", F.col("capacity").cast("bigint").alias("capacity"))
-    return rows.join(F.broadcast(specs), "spec_id").select("spec_id", "container_id", key, "piece", (F.col("piece") * F.col("capacity")).alias("start_token"), F.col("size").alias("n_tokens"))
+    return rows.join(small(specs), "spec_id").select("spec_id", "container_id", key, "piece", (F.col("piece") * F.col("capacity")).alias("start_token"), F.col("size").alias("n_tokens"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import mojibake, packing, tokens, truncation
+from pagewright.plans.skew import small
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,7 +34,7 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
 def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     rows = p7_containers(spark, folder).groupBy("spec_id").agg(F.count_distinct("container_id").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
     specs = _table(spark, folder, "container_spec").select("spec_id", "capacity")
-    return rows.join(F.broadcast(specs), "spec_id").withColumn("fill", F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")))
+    return rows.join(small(specs), "spec_id").withColumn("fill", F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -19,7 +19,7 @@ def test_operators_keep_solutions_whole():
     assert len(population[0]) <= len(first)
 
 
-@pytest.mark.parametrize("n,low,high,capacity", [(1, 5, 5, 10), (4000, 1, 300, 512), (3500, 200, 300, 512), (2000, 400, 511, 512)])
+@pytest.mark.parametrize("n,low,high,capacity", [(1, 5, 5, 10), (4000, 1, 300, 512), (3500, 200, 300, 512), (2000, 400, 511, 512), (15000, 1, 480, 512)])
 def test_pack(spark, n, low, high, capacity):
     rng = random.Random(n)
     items = [(1, capacity, f"d{i}", rng.randint(low, high)) for i in range(n)]
@@ -31,7 +31,7 @@ def test_pack(spark, n, low, high, capacity):
     assert max(fill.values()) <= capacity
     sizes = [i[3] for i in items]
     plain = G.best_fit(sorted(range(n), key=sizes.__getitem__, reverse=True), sizes, capacity, [])
-    assert len(fill) <= len(plain) * 1.01 + 1
+    assert len(fill) <= len(plain) + (n > G.BLOCK)  # of one block never more than best-fit decreasing
 
 
 @needs_files
