@@ -14,6 +14,7 @@ import hashlib
 import math
 import re
 import unicodedata
+import uuid
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -286,12 +287,18 @@ def asked_shape(word: str) -> tuple[str, str] | None:
     return shape, stem if stem and "?" not in stem and stem != shape else ""
 
 
+def asked_parts(word: str) -> list[str]:
+    """What stands before, between and behind question marks, where all of it has two or more letters."""
+    parts = [core(p) for p in word.split("?")]
+    return parts if all(len(p) > 1 for p in parts) else []
+
+
 class Learned(NamedTuple):
     """What is counted over all rows: n-grams, and hashes of shapes with question marks that undamaged words have."""
 
     counts: np.ndarray
     lost: frozenset[int]
-    stems: frozenset[int]  # what stands before closing question marks and occurs without them too
+    stems: frozenset[int]  # what stands before closing question marks, or on both sides of one, and occurs by itself too
 
 
 def candidates(word: str, model: Model | None = None) -> list[tuple[str, str, str, bool]]:
@@ -361,13 +368,13 @@ class Detector:
         if "?" in word and (asked := asked_shape(word)) is not None and _hash(asked[0]) in self.lost and not (asked[1] and _hash(asked[1]) in self.stems):
             return "", "lost"
         if word.isascii():
-            return ("", "lost") if _ASKED.search(word) and not re.search(r"[/=&]", word) else None
+            return ("", "lost") if _ASKED.search(word) and not re.search(r"[/=&]", word) and not self._two_words(word) else None
         if lost_before(word):
             return "", "lost"
         mine = self.model.score(word)
         best = (mine + MARGIN, word, "")
         level, known = [(word, "")], {word}
-        for _ in range(3):  # text may have been garbled more than once
+        while level:  # text may have been garbled any number of times; each sure decoding has fewer characters
             deeper = []
             for now, how in level:
                 for text, read, written, sure in candidates(now, self.model):
@@ -380,6 +387,11 @@ class Detector:
             level = deeper
         return (best[1], best[2]) if best[2] else None
 
+    def _two_words(self, word: str) -> bool:
+        """Whether the question marks stand between words: all parts of two or more letters occur as words of their own."""
+        parts = asked_parts(word)
+        return len(parts) > 1 and all(_hash(p) in self.stems for p in parts)
+
     def value(self, text: str) -> tuple[str | None, str] | None:
         """(restored text or None, encodings) of a value that is garbled wholly or in part."""
         found: dict[str, tuple[str, str]] = {}
@@ -434,8 +446,9 @@ def train(values: DataFrame, column: str) -> Learned:
                         mark(1, shape, 1)
                 elif (asked := asked_shape(word)) is not None:
                     mark(1, asked[0], 2)
-                    if asked[1]:
-                        mark(2, asked[1], 2)
+                    for part in (asked[1], *asked_parts(asked[0])):
+                        if part:
+                            mark(2, part, 2)
             seen.clear()
             for bare in {core(w) for w in plain}:
                 if bare:
@@ -476,7 +489,7 @@ def train(values: DataFrame, column: str) -> Learned:
     return Learned(counts, *(frozenset(rows.loc[rows["kind"] == k, "at"].tolist()) for k in (1, 2)))
 
 
-_DETECTORS: dict[int, Detector] = {}
+_DETECTORS: dict[str, Detector] = {}
 
 
 def garbled(rows: DataFrame, key: str, column: str, learned: Learned | None = None) -> DataFrame:
@@ -490,11 +503,11 @@ def garbled(rows: DataFrame, key: str, column: str, learned: Learned | None = No
     small = np.minimum(learned.counts, 2**31 - 1).astype(np.int32)
     model = spark.sparkContext.broadcast((small, learned.lost, learned.stems))  # 9.6 MB of counts at any size of the data
     kind = rows.schema[key].dataType.simpleString()
+    ident = uuid.uuid4().hex  # a reused worker must not judge by the model of another call
 
     def judge(batches):
         import pandas as pd
 
-        ident = id(model)
         if ident not in _DETECTORS:
             _DETECTORS.clear()
             _DETECTORS[ident] = Detector(*model.value)

@@ -77,3 +77,30 @@ def test_question_marks_for_letters_of_a_known_word(spark):
     fine = [(-20, "wie?"), (-21, "wie ??"), (-22, "¿confirmado?"), (-23, "vrai ?"), (-24, "Schlüssel?"), (-25, "x??y"), (-26, "包裹已退回?")]
     got = {r.id: r.restored for r in M.garbled(spark.createDataFrame(rows + bad + fine, "id bigint, t string"), "id", "t").collect()}
     assert got == {i: None for i, _ in bad}
+
+
+def test_question_marks_between_two_words_are_no_loss(spark):
+    rows = [(i, t) for i, t, _ in corpus()[:2500]] + [(3000, "why because of the flood")]
+    asked = [(-1, "why?because"), (-2, "usuni?to"), (-3, "because?why")]
+    got = {r.id for r in M.garbled(spark.createDataFrame(rows + asked, "id bigint, t string"), "id", "t").collect()}
+    assert got == {-2}
+
+
+def test_long_words_and_text_garbled_many_times(spark):
+    rng = random.Random(4)
+    long = lambda: "-".join(rng.choices(CLEAN["ru"], k=300))
+    bad = [(-1, long().encode().decode("cp1251", "ignore"))]
+    many = "größer"
+    for _ in range(5):
+        many = many.encode().decode("latin-1")
+    rows = [(i, t) for i, t, _ in corpus()[:2500]] + [(3000 + i, long()) for i in range(5)] + bad + [(-3, many)]
+    got = {r.id: r.restored for r in M.garbled(spark.createDataFrame(rows, "id bigint, t string"), "id", "t").collect()}
+    assert got.keys() == {-1, -3} and got[-3] == "größer"
+
+
+def test_two_models_in_one_worker(spark):
+    one = spark.createDataFrame([(i, t) for i, t, _ in corpus()[:2500]] + [(-1, "geprÃ¼ft")], "id bigint, t string").coalesce(1)
+    two = spark.createDataFrame([(i, "geprÃ¼ft") for i in range(300)], "id bigint, t string").coalesce(1)
+    first, second = M.garbled(one, "id", "t"), M.garbled(two, "id", "t")
+    plain = [sorted(r.id for r in x.collect()) for x in (first, second)]
+    assert plain[0] == [-1] and [sorted(r.id for r in x.collect()) for x in (first, second, first)] == [*plain, plain[0]]
