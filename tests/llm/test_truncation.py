@@ -67,5 +67,19 @@ def test_a_longer_copy_is_told(spark):
     assert set(got) == {1, 3} and got[1].longer and got[3].unit_longer
 
 
+def test_a_longer_copy_outweighs_an_ending_that_lines_have(spark):
+    others = [(10 + i, f"Number {i} is here.\nAlpha beta gamma delta\nMore of text {i} follows.") for i in range(4)]
+    rows = [*others, (1, "Alpha beta gamma delta"), (2, "Alpha beta gamma delta epsilon zeta."), (3, "Some whole heading"), (4, "Some whole heading\nand what stands below it."), (5, "Every page is kept."), (6, "Every page is kept. The last one too.")]
+    rows += [(20 + i, f"Number {i} is there.\nSome whole heading\nMore of page {i} follows.") for i in range(4)]
+    got = {r.doc_id: r.longer for r in U.cut_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: True}
+
+
+def test_long_endings_and_notes(spark):
+    name = "x" * 400
+    rows = [(i, f"Row {i} is kept.\nsee part/{name}\nThe next page {i} is kept.") for i in range(4)] + [(9, f"All is kept.\nsee part/{name}"), (10, "The page is kept. (" + "a note that is long " * 9 + ")")]
+    assert U.cut_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).count() == 0
+
+
 def test_empty(spark):
     assert U.cut_texts(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
