@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.plans.lineage import materialize
-from pagewright.plans.skew import skew_join
-
-_MAX_ROUNDS = 10_000
+from pagewright.plans.lineage import materialize, release
+from pagewright.plans.skew import hot_hashes, skew_join
 
 
 def targets(tables: DataFrame, key: str, rank: list[str], gone: str, seen: str) -> DataFrame:
@@ -38,28 +37,41 @@ def direct_orphans(references: DataFrame, known: DataFrame) -> DataFrame:
     return joined.select(*references.columns, F.explode(reasons).alias("reason"))
 
 
-def cascade(direct: DataFrame, links: DataFrame) -> DataFrame:
+def cascade(direct: DataFrame, links: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """Direct orphans and those that inherit from them: table, id, level, reason.
 
     `direct` has (table, id, reason), level 0. `links` (table, id, parent_table, parent_id) are foreign keys among
     records; a record with an orphaned parent is orphaned too, at one level more, with reason `inherited`. Each round
     semi-joins the links with the newest level and leaves out what is known already, so circles end; rounds are as many
-    as the longest chain of inheritance.
+    as the longest chain of inheritance. Each level is written once. More than most_rounds levels raise an error.
     """
-    links = materialize(links.where("parent_id is not null").select("table", "id", "parent_table", "parent_id").distinct())
     level0 = materialize(direct.select("table", "id", F.lit(0).alias("level"), "reason").distinct())
-    layers, frontier, known = [level0], level0.select("table", "id").distinct(), level0.select("table", "id").distinct()
-    for level in range(1, _MAX_ROUNDS):
+    layers = [level0]
+    frontier = level0.select("table", "id").distinct()
+    links = links.where("parent_id is not null").select("table", "id", "parent_table", "parent_id").distinct()
+    links = materialize(links.join(frontier, ["table", "id"], "left_anti"))  # what is orphaned itself inherits nothing
+    hot = hot_hashes(links, ["parent_table", "parent_id"])
+    level = 0
+    while True:
         parents = frontier.select(F.col("table").alias("parent_table"), F.col("id").alias("parent_id"))
-        found = skew_join(links, parents, ["parent_table", "parent_id"], "left_semi").select("table", "id").distinct()
-        found = materialize(found.join(known, ["table", "id"], "left_anti"))
+        found = skew_join(links, parents, ["parent_table", "parent_id"], "left_semi", hot).select("table", "id").distinct()
+        if layers[1:]:
+            known = reduce(DataFrame.unionByName, [x.select("table", "id") for x in layers[1:]])
+            found = found.join(known, ["table", "id"], "left_anti")
+        found = materialize(found.select("table", "id", F.lit(level + 1).alias("level"), F.lit("inherited").alias("reason")))
         if found.isEmpty():
             break
-        layers.append(found.select("table", "id", F.lit(level).alias("level"), F.lit("inherited").alias("reason")))
-        frontier, known = found, materialize(known.unionByName(found))
+        level += 1
+        if level > most_rounds:
+            raise RuntimeError(f"orphans are inherited over more than {most_rounds} levels")
+        layers.append(found)
+        frontier = found.select("table", "id")
+    release(links)
     return reduce(DataFrame.unionByName, layers)
 
 
-def per_period(orphans: DataFrame, period: str = "month") -> DataFrame:
-    """Orphan references (child_table, reason, seen_ts) counted per table, reason and period of seen_ts."""
-    return orphans.groupBy(F.col("child_table").alias("ref_table"), F.date_trunc(period, "seen_ts").cast("timestamp_ntz").alias("period"), "reason").agg(F.count(F.lit(1)).alias("n"))
+def per_period(orphans: DataFrame, period: str = "month", extra: Sequence[str] = ()) -> DataFrame:
+    """Orphan references (child_table, reason, seen_ts) counted per table, reason, further columns and period of seen_ts;
+    where seen_ts is NULL the period is."""
+    at = F.date_trunc(period, "seen_ts").cast("timestamp_ntz").alias("period")
+    return orphans.groupBy(F.col("child_table").alias("ref_table"), at, "reason", *extra).agg(F.count(F.lit(1)).alias("n"))

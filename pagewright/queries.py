@@ -81,12 +81,17 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     return orphans.per_period(orphan_catalog.orphan_references(_catalog(spark, folder)))
 
 
+def p5_by_level(spark: SparkSession, folder: str) -> DataFrame:
+    """Direct and inherited orphans per table, month and level."""
+    return orphan_catalog.orphan_report(_catalog(spark, folder))
+
+
 def p5_inherited(spark: SparkSession, folder: str) -> DataFrame:
     records = orphan_catalog.orphan_records(_catalog(spark, folder))
     return records.groupBy("table", "level", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (p1_found, p1_lifespans, p1_unified, p2_found, p2_hierarchy, p2_descendants, p3_found, p3_rows, p5_found, p5_report, p5_inherited)
+    q.__name__: q for q in (p1_found, p1_lifespans, p1_unified, p2_found, p2_hierarchy, p2_descendants, p3_found, p3_rows, p5_found, p5_report, p5_by_level, p5_inherited)
 }
 QUERIES |= registry.QUERIES

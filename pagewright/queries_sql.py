@@ -91,4 +91,10 @@ links AS (SELECT 'table_meta' tbl, oid id, 'table_meta' ptbl, cm.r.p pid FROM cm
 lv AS (SELECT DISTINCT tbl, id, 0 lvl FROM direct UNION SELECT l.tbl, l.id, lvl + 1 FROM lv JOIN links l ON l.ptbl = lv.tbl AND l.pid = lv.id AND l.pid <> 0 WHERE lvl < 40),
 low AS (SELECT tbl, id, min(lvl) lvl FROM lv GROUP BY ALL)
 SELECT tbl AS "table", 0 AS level, reason, count(*) AS n FROM direct GROUP BY ALL UNION ALL SELECT tbl, lvl, 'inherited', count(*) FROM low WHERE lvl > 0 GROUP BY ALL"""
+_LEVELS = SQL["p5_inherited"].rpartition("SELECT tbl AS")[0]
+SQL["p5_by_level"] = f"""{_LEVELS.rstrip()},
+born AS (SELECT tbl, id, min(seen_ts) seen_ts FROM (SELECT 'constr_row' tbl, con_oid id, seen_ts FROM constr_row UNION ALL SELECT 'index_row', ind_index_rel_id, seen_ts FROM index_row UNION ALL SELECT 'toast_pointer', ptr_id, seen_ts FROM toast_pointer
+  UNION ALL SELECT 'type_def', oid, seen_ts FROM ct UNION ALL SELECT 'table_meta', oid, arg_max(seen_ts, (t_xmin, row_no)) FROM table_meta WHERE oid IS NOT NULL GROUP BY oid) GROUP BY ALL),
+every AS (SELECT tbl, id, 0 AS level, reason FROM direct UNION ALL SELECT tbl, id, lvl, 'inherited' FROM low WHERE lvl > 0)
+SELECT e.tbl AS ref_table, date_trunc('month', seen_ts) AS period, reason, level, count(*) AS n FROM every e LEFT JOIN born b ON b.tbl = e.tbl AND b.id = e.id GROUP BY ALL"""
 SQL |= registry.SQL

@@ -1,5 +1,6 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagewright.operators import orphans as O
@@ -31,6 +32,14 @@ def test_cascade(spark):
     assert got == {("t", 1, 0, "missing"), ("t", 1, 0, "late"), ("t", 2, 1, "inherited"), ("u", 3, 2, "inherited")}
 
 
+def test_long_chains_are_followed_or_refused(spark):
+    direct = spark.createDataFrame([("t", 0, "missing")], "table string, id bigint, reason string")
+    links = spark.createDataFrame([("t", i + 1, "t", i) for i in range(6)], "table string, id bigint, parent_table string, parent_id bigint")
+    assert {(r.id, r.level) for r in O.cascade(direct, links).collect()} == {(i, i) for i in range(7)}
+    with pytest.raises(RuntimeError):
+        O.cascade(direct, links, most_rounds=3)
+
+
 def test_empty(spark):
     direct = spark.createDataFrame([], "table string, id bigint, reason string")
     links = spark.createDataFrame([], "table string, id bigint, parent_table string, parent_id bigint")
