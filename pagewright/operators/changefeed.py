@@ -18,7 +18,7 @@ def signed_images(changes: DataFrame, keys: list[str], seq: list[str], image: st
     one for its after-image and minus one for its before-image, the after-image of the change before it.
     """
     once = changes.groupBy(*keys, *seq).agg(F.max(image).alias(image))
-    held = previous(once, keys, [F.col(c) for c in seq], F.col(image), "before_", block=F.col(seq[0]), hot=hot)
+    held = previous(once, keys, [F.col(c) for c in seq], F.col(image), "before_", split=True, hot=hot)
     signed = F.array(F.struct(F.col(image).alias("image"), F.lit(1).alias("sign")), F.struct(F.col("before_").alias("image"), F.lit(-1).alias("sign")))
     return held.select(*keys, F.inline(signed)).where("image is not null")
 
@@ -74,7 +74,7 @@ def current_tuples(heap: DataFrame, clog: DataFrame) -> DataFrame:
     log = clog_latest(clog)
     hot_in = hot_hashes(images.where(known.isNull()).select(F.col("t_xmin").alias("xid_")), ["xid_"])
     hot_out = hot_hashes(images.where(certain == XMAX_OPEN).select(F.col("t_xmax").alias("xid_")), ["xid_"])
-    hot_rows = hot_hashes(images, ["rel_oid", "row_id"])
+    hot_rows = hot_hashes(images, ["rel_oid", "row_id"], nulls=True)
     rows = with_status(images, F.col("t_xmin"), known.isNull(), log, "in_status", hot_in)
     held = rows.where(F.coalesce(known, ~F.col("in_status").isin(0, 2), F.lit(True))).drop("in_status")
     held = with_status(held, F.col("t_xmax"), certain == XMAX_OPEN, log, "out_status", hot_out)

@@ -79,9 +79,9 @@ def snapshots(attr: DataFrame) -> DataFrame:
     """Each (attrelid, snap_no) with its release and those of its neighbours in order of snap_no."""
     each = attr.where("attrelid is not null and snap_no is not null").groupBy("attrelid", "snap_no").agg(F.max("pg_version").alias("ver"))
     here = F.struct("snap_no", "ver")
-    each = previous(each, ["attrelid"], [F.col("snap_no")], here, "before", block=F.col("snap_no"))
+    each = previous(each, ["attrelid"], [F.col("snap_no")], here, "before", split=True)
     each = each.withColumn("back_", -F.col("snap_no"))
-    each = previous(each, ["attrelid"], [F.col("back_")], here, "after", block=F.col("back_")).drop("back_")
+    each = previous(each, ["attrelid"], [F.col("back_")], here, "after", split=True).drop("back_")
     return each
 
 
@@ -106,9 +106,9 @@ def lifespans(attr: DataFrame) -> DataFrame:
     live = snapshot_columns(attr).where("live").drop("live").join(names, ["attrelid", "snap_no"])
     field = ["attrelid", "attname", "atttypid", "atttypmod"]
     here = F.struct("snap_no", "attnum")
-    live = previous(live, field, [F.col("snap_no"), F.col("attnum")], here, "was", block=F.col("snap_no"))
+    live = previous(live, field, [F.col("snap_no"), F.col("attnum")], here, "was", split=True)
     live = live.withColumn("back_", -F.col("snap_no")).withColumn("num_back_", -F.col("attnum"))
-    live = previous(live, field, [F.col("back_"), F.col("num_back_")], here, "will", block=F.col("back_")).drop("back_", "num_back_")
+    live = previous(live, field, [F.col("back_"), F.col("num_back_")], here, "will", split=True).drop("back_", "num_back_")
 
     def goes_on(other: str, no: str, by_num: str) -> Column:
         same_place = F.when(F.col(by_num), F.col(f"{other}.attnum") == F.col("attnum")).otherwise(F.col("attname").isNotNull())

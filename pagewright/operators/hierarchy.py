@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.plans import skew
-from pagewright.plans.lineage import materialize, release
+from pagewright.plans.lineage import materialize, materialize_counted, release
 from pagewright.plans.skew import skew_join
 
-#: Ways in which the children of one parent are numbered side by side.
-SIBLING_BUCKETS = 64
+#: Ways in which the children of one parent are numbered side by side: so many, or one for so many nodes.
+SIBLING_BUCKETS, BUCKET_NODES = 64, 500_000
 _MAX_ROUNDS = 64
 
 
@@ -38,9 +38,10 @@ def separate_circles(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = materialize(clean_links(links))
     cut: DataFrame | None = None
     # nodes whose way up isn't known to end yet
-    state = materialize(links.where("parent is not null").select("id", F.col("parent").alias("jump"), F.col("parent").alias("least")))
+    counted = {"rows": F.count(F.lit(1)), "closed": F.count_if(F.col("id") == F.col("least"))}
+    state, seen = materialize_counted(links.where("parent is not null").select("id", F.col("parent").alias("jump"), F.col("parent").alias("least")), **counted)
     for _ in range(_MAX_ROUNDS):
-        rows, closed = state.agg(F.count(F.lit(1)), F.count_if(F.col("id") == F.col("least"))).first()
+        rows, closed = seen["rows"], seen["closed"]
         if rows == 0:
             break
         written = state
@@ -52,7 +53,7 @@ def separate_circles(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         up = state.select(F.col("id").alias("jump"), F.col("jump").alias("jump2"), F.col("least").alias("least2"))
         # the inner join drops nodes whose ancestor isn't open: their way ends
         following = skew_join(state, up, ["jump"], hot=_no_hot(rows)).select("id", F.col("jump2").alias("jump"), F.least("least", "least2").alias("least"))
-        following = materialize(following)
+        following, seen = materialize_counted(following, **counted)
         release(written)
         state = following
     else:
@@ -68,16 +69,17 @@ def double(state: DataFrame, combine: dict[str, Column]) -> DataFrame:
     """Pointer doubling to the end: rows (id, up, values...), `up` NULL at the top. Each round a row takes over its
     ancestor's `up`; `combine` makes the new values from own ones and those of the ancestor, named `<value>_up`."""
     values = [c for c in state.columns if c not in ("id", "up")]
-    state = materialize(state)
+    counted = {"rows": F.count("up")}
+    state, seen = materialize_counted(state, **counted)
     for _ in range(_MAX_ROUNDS):
-        going = state.where("up is not null")
-        rows = going.count()
+        rows = seen["rows"]
         if rows == 0:
             return state
+        going = state.where("up is not null")
         above = state.select(F.col("id").alias("up"), F.col("up").alias("up_up"), *[F.col(v).alias(f"{v}_up") for v in values])
         going = skew_join(going, above, ["up"], hot=_no_hot(rows))
         going = going.select("id", F.col("up_up").alias("up"), *[combine[v].alias(v) if v in combine else F.col(v) for v in values])
-        following = materialize(going.unionByName(state.where("up is null")))
+        following, seen = materialize_counted(going.unionByName(state.where("up is null")), **counted)
         release(state)
         state = following
     raise RuntimeError("the rounds of pointer doubling didn't end")
@@ -95,15 +97,16 @@ def subtree_sizes(links: DataFrame) -> DataFrame:
     Doubling downwards: after k rounds a node counts its descendants less than 2^k steps below; it then takes the counts
     of the nodes exactly 2^k steps below, summed per ancestor before they are shuffled.
     """
-    state = materialize(links.select("id", "parent", F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("size")))
+    counted = {"rows": F.count("up")}
+    state, seen = materialize_counted(links.select("id", "parent", F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("size")), **counted)
     for _ in range(_MAX_ROUNDS):
-        rows = state.where("up is not null").count()
+        rows = seen["rows"]
         if rows == 0:
             return state.drop("up")
         more = state.where("up is not null").groupBy("up").agg(F.sum("size").alias("more")).withColumnRenamed("up", "id")
         above = state.select(F.col("id").alias("up"), F.col("up").alias("up_up"))
         following = skew_join(state, above, ["up"], "left", hot=_no_hot(rows)).join(more, "id", "left")
-        following = materialize(following.select("id", "parent", F.col("up_up").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+        following, seen = materialize_counted(following.select("id", "parent", F.col("up_up").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), **counted)
         release(state)
         state = following
     raise RuntimeError("the rounds of pointer doubling didn't end")
@@ -128,14 +131,15 @@ def heavy_paths(links: DataFrame) -> DataFrame:
 
     # position along chains
     linked = skew_join(sized, heavy, ["parent"], "left")
-    linked = materialize(linked.withColumn("is_heavy", F.coalesce(F.col("heavy") == F.col("id"), F.lit(False))))
+    linked, seen = materialize_counted(linked.withColumn("is_heavy", F.coalesce(F.col("heavy") == F.col("id"), F.lit(False))), rows=F.count(F.lit(1)))
+    buckets = max(SIBLING_BUCKETS, seen["rows"] // BUCKET_NODES)
     chains = double(
         linked.select("id", F.when(F.col("is_heavy"), F.col("parent")).alias("up"), F.when(F.col("is_heavy"), F.col("parent")).otherwise(F.col("id")).alias("chain"), F.when(F.col("is_heavy"), 1).otherwise(0).cast("bigint").alias("pos")),
         {"chain": F.col("chain_up"), "pos": F.col("pos") + F.col("pos_up")},
     ).select("id", "chain", "pos")
 
     # light children come after the heavy one; their order is that of buckets, then ids, and needs no full sibling list
-    light = linked.where("parent is not null and not is_heavy").withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(SIBLING_BUCKETS)))
+    light = linked.where("parent is not null and not is_heavy").withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
     in_bucket = Window.partitionBy("parent", "bucket").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     light = light.withColumn("ahead", F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
     totals = light.groupBy("parent", "bucket").agg(F.sum("size").alias("bucket_size"))

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
 _WRITTEN: dict[str, list[str]] = {}
@@ -60,6 +60,13 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return back
 
 
+def materialize_counted(df: DataFrame, **counted: Column) -> tuple[DataFrame, dict[str, int]]:
+    """materialize() with aggregates of df's rows, taken while they are written: no job of their own."""
+    watch = Observation()
+    back = materialize(df.observe(watch, *[e.alias(n) for n, e in counted.items()]))
+    return back, watch.get
+
+
 def release(*tables: DataFrame | None) -> None:
     """Remove tables written by materialize() that no result needs any more."""
     for table in tables:

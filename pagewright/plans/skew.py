@@ -7,10 +7,13 @@ size of the data; only their hashes come to the driver.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.plans.lineage import materialize
+
 #: A key is hot beyond this share of the rows.
 SHARES = 48
 #: Ways in which the rows of a hot key are split.
@@ -31,11 +34,12 @@ def small(df: DataFrame, most_rows: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
-def hot_hashes(df: DataFrame, keys: Sequence[str], least_rows: int | None = None) -> list[int]:
-    """xxhash64 of each key combination with more than 1/SHARES of the rows (rows with a NULL key don't count)."""
+def hot_hashes(df: DataFrame, keys: Sequence[str], least_rows: int | None = None, nulls: bool = False) -> list[int]:
+    """xxhash64 of each key combination with more than 1/SHARES of the rows. Rows with a NULL key count with `nulls` only:
+    they meet in no join, but in one window."""
     least = LEAST_ROWS if least_rows is None else least_rows
     present = df
-    for k in keys:
+    for k in keys if not nulls else ():
         present = present.where(F.col(k).isNotNull())
     counts = present.groupBy(F.xxhash64(*keys).alias("h")).agg(F.count(F.lit(1)).alias("n"))
     # fewer than SHARES rows can pass, so the window-free two-step aggregate ends in a small array
@@ -82,33 +86,31 @@ def previous(
     order: Sequence[Column],
     value: Column,
     name: str,
-    block: Column | None = None,
+    split: bool = False,
     hot: list[int] | None = None,
 ) -> DataFrame:
     """Add `name`: `value` of the row before this one among the rows with equal keys, in `order`; NULL for the first.
 
     `order` holds ascending columns only (negate a number to look ahead).
-    `block` is a number that never decreases along `order`; rows of hot keys are cut into SPLITS ranges of it, looked
-    back within their range, and only the first row of a range takes its value from the last row of an earlier one.
+    With `split` rows of hot keys (or of NULL ones, which are a key like others) are cut into ranges of the whole order,
+    however many are alike in its first columns; they are looked back within their range, and only the first row of a
+    range takes its value from the last row of an earlier one. Rows that are alike in all of `order` stay together.
     """
     keys = list(keys)
     window = Window.partitionBy(*keys).orderBy(*order)
     if hot is None:
-        hot = hot_hashes(df, keys) if block is not None else []
-    if not hot or block is None:
+        hot = hot_hashes(df, keys, nulls=True) if split else []
+    if not hot or not split:
         return df.withColumn(name, F.lag(value).over(window))
     is_hot = F.xxhash64(*keys).isin(hot)
     cold = df.where(~is_hot).withColumn(name, F.lag(value).over(window))
     part, first, last = _name("blk", df), _name("fst", df), _name("lst", df)
-    rows = df.where(is_hot)
-    cuts = rows.agg(F.percentile_approx(block, [i / SPLITS for i in range(1, SPLITS)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    place = F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda n, c: n + (block > c).cast("int")) if cuts else F.lit(0)
-    rows = rows.withColumn(part, place)
+    rows = materialize(df.where(is_hot).repartitionByRange(SPLITS, *[F.col(k) for k in keys], *order).withColumn(part, F.spark_partition_id()))
     inner = Window.partitionBy(*keys, part).orderBy(*order)
     rows = rows.withColumn(name, F.lag(F.struct(value.alias("v"))).over(inner)).withColumn(first, F.row_number().over(inner) == 1)
     ends = rows.groupBy(*keys, part).agg(F.max_by(F.struct(value.alias("v")), F.struct(*order)).alias(last))
     ends = ends.withColumn(last, F.lag(last).over(Window.partitionBy(*keys).orderBy(part)))  # at most SPLITS rows a key
-    rows = rows.join(ends, [*keys, part], "left").withColumn(name, F.when(F.col(first), F.col(last)).otherwise(F.col(name))["v"])
-    return cold.unionByName(rows.drop(part, first, last))
-
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"e.{c}")) for c in (*keys, part)]
+    joined = rows.alias("r").join(ends.alias("e"), reduce(Column.__and__, same), "left").select("r.*", F.col(f"e.{last}").alias(last))
+    joined = joined.withColumn(name, F.when(F.col(first), F.col(last)).otherwise(F.col(name))["v"])
+    return cold.unionByName(joined.drop(part, first, last))

@@ -32,11 +32,24 @@ def test_join(spark, eager, how):
 
 def test_look_back(spark, eager):
     df = rows(spark)
-    got = skew.previous(df, ["k"], [F.col("o")], F.col("v"), "p", block=F.col("o"))
+    got = skew.previous(df, ["k"], [F.col("o")], F.col("v"), "p", split=True)
     want = df.withColumn("p", F.lag("v").over(Window.partitionBy("k").orderBy("o")))
     assert sorted(map(str, got.select("k", "o", "v", "p").collect())) == sorted(map(str, want.collect()))
 
 
+def test_look_back_with_one_first_order_value(spark, eager):
+    df = rows(spark).withColumn("tx", F.lit(700))
+    got = skew.previous(df, ["k"], [F.col("tx"), F.col("o")], F.col("v"), "p", split=True)
+    want = df.withColumn("p", F.lag("v").over(Window.partitionBy("k").orderBy("tx", "o")))
+    assert sorted(map(str, got.select("k", "o", "v", "tx", "p").collect())) == sorted(map(str, want.collect()))
+
+
+def test_small_sides_only_are_broadcast(spark):
+    df = rows(spark)
+    plan = lambda x: rows(spark).join(x, "k")._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(skew.small(df)) and "broadcast" not in plan(skew.small(df, 10))
+
+
 def test_few_rows_have_no_hot_keys(spark):
     assert skew.hot_hashes(rows(spark), ["k"]) == []
 
