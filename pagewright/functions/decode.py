@@ -1,4 +1,4 @@
-"""On-disk values of PostgreSQL types as canonical text: one decoder per type, a registry, Arrow UDFs over them."""
+"""On-disk values of PostgreSQL types as canonical text: one decoder per type, and a registry."""
 
 from __future__ import annotations
 
@@ -8,10 +8,9 @@ import struct
 from collections.abc import Callable, Mapping
 from datetime import date, timedelta
 from decimal import Decimal
+from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from pagewright.functions.varlena import External, frame_size, payload
 
@@ -612,8 +611,24 @@ OIDS = {
 }
 
 
+@lru_cache(maxsize=4096)
+def user_type(spec: str) -> tuple[int, int, Decoder]:
+    """Length, alignment and decoder of a user's type from JSON: {"enum": {oid: label}}, {"row": [type, ...]} or
+    {"array": type}, where a type is a name or such a description again."""
+    made = json.loads(spec)
+    part = lambda t: TYPES.get(t, (-1, 4, text)) if isinstance(t, str) else user_type(json.dumps(t))
+    if "enum" in made:
+        return 4, 4, enum({int(k): v for k, v in made["enum"].items()})
+    if "array" in made:
+        of = part(made["array"])
+        return -1, 8 if of[1] == 8 else 4, array(*of)
+    return -1, 8, composite([part(t) for t in made["row"]])
+
+
 def decoder(kind: int | str) -> Decoder:
-    """The decoder of a type by oid or name; text or hexadecimal for unknown ones."""
+    """The decoder of a type by oid, name or description; text or hexadecimal for unknown ones."""
+    if isinstance(kind, str) and kind.startswith("{"):
+        return user_type(kind)[2]
     name = OIDS.get(kind, "") if isinstance(kind, int) else kind
     return TYPES[name][2] if name in TYPES else text
 
@@ -626,14 +641,3 @@ def decode(kind: int | str, raw: bytes | None) -> str | None:
         return decoder(kind)(raw)
     except (Broken, IndexError, ValueError, OverflowError):
         return bytea(raw)
-
-
-def decode_udf(kind: int | str) -> Callable[[Column], Column]:
-    """An Arrow UDF from bytes to canonical text."""
-
-    @F.pandas_udf("string")
-    def run(raw):  # type: ignore[no-untyped-def]
-        return raw.map(lambda r: decode(kind, r))
-
-    run_typed = run
-    return lambda c: run_typed(c)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.plans.skew import skew_join
 
 
+def join_bytes(parts: Column) -> Column:
+    """An array of binaries as one, in time that grows with its length (by its hexadecimal text)."""
+    return F.unhex(F.array_join(F.transform(parts, F.hex), ""))
+
+
 def reassemble(chunks: DataFrame, key: str, seq: str, data: str, size: str | None = None) -> DataFrame:
     """Values from their pieces: key, value, n_chunks, state.
 
@@ -31,7 +36,7 @@ def reassemble(chunks: DataFrame, key: str, seq: str, data: str, size: str | Non
     state = F.when(F.col("twice_"), "conflict").when((F.col("top_") + 1 != F.col("n_chunks")) | (F.col("low_") != 0), "gap").when(F.col("length_") != F.col("size_"), "short").otherwise("ok")
     parts = F.transform("c_", lambda c: c["d"])
     kind = chunks.schema[data].dataType.simpleString()
-    joined: Column = F.array_join(parts, "") if kind == "string" else F.aggregate(parts, F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x))
+    joined: Column = F.array_join(parts, "") if kind == "string" else join_bytes(parts)
     return whole.select(key, "n_chunks", state.alias("state"), F.when(state == "ok", joined).alias("value"))
 
 
@@ -62,7 +67,7 @@ def large_objects(pages: DataFrame, page_size: int, key: str = "loid", pageno: s
         F.max(~F.col("d_").eqNullSafe(F.col("d2_"))).alias("twice_"),
     )
     filled = lambda p: F.when(p == F.col("top_"), F.coalesce(F.try_element_at("m_", p), F.lit(b""))).otherwise(F.rpad(F.coalesce(F.try_element_at("m_", p), F.lit(b"")), page_size, F.lit(b"\x00")))
-    value = F.aggregate(F.transform(F.sequence(F.lit(0), F.col("top_")), filled), F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x))
+    value = join_bytes(F.transform(F.sequence(F.lit(0), F.col("top_")), filled))
     out = whole.select(key, "n_pages", (F.col("top_") + 1 - F.col("n_pages")).alias("n_holes"), F.when(~F.col("twice_"), value).alias("value"), F.when(F.col("twice_"), "conflict").otherwise("ok").alias("state"))
     return out.withColumn("size", F.length("value"))
 
@@ -84,3 +89,25 @@ def large_object_sql(objects: DataFrame, key: str, value: str, chunk: int = 16 *
     make = F.concat(F.lit("SELECT lo_create("), oid, F.lit(");"))
     put = F.concat(F.lit("SELECT lo_put("), oid, F.lit(", "), (F.col("step") * chunk).cast("string"), F.lit(", '\\x"), part, F.lit("');"))
     return rows.select(key, F.col("step").alias("step"), F.when(F.col("step") < 0, make).otherwise(put).alias("statement"))
+
+
+def page_statements(pages: DataFrame, key: str = "loid", pageno: str = "pageno", data: str = "data", page_size: int = 2048, group: int = 4096) -> DataFrame:
+    """Statements that restore large objects straight from their pages, no object ever being one row: key, step, statement.
+
+    Step -1 creates the object; step k writes pages k * group on. Pages that lie side by side within a step share an
+    lo_put, holes are left to the server, which reads them as zero bytes. Exact repeats count once; of different pages
+    with one number the greatest is written.
+    """
+    once = pages.where(F.col(key).isNotNull() & (F.col(pageno) >= 0)).groupBy(key, pageno).agg(F.max(data).alias("d_"))
+    placed = once.withColumn("step", F.floor(F.col(pageno) / group).cast("int"))
+    # an island of pages side by side has one difference between page number and rank; a short page ends it
+    w = Window.partitionBy(key, "step").orderBy(pageno)
+    short = F.lag(F.length("d_") < page_size).over(w)
+    starts = F.coalesce(F.col(pageno) - F.lag(pageno).over(w) != 1, F.lit(True)) | F.coalesce(short, F.lit(False))
+    placed = placed.withColumn("run_", F.sum(starts.cast("int")).over(w))
+    runs = placed.groupBy(key, "step", "run_").agg(F.min(pageno).alias("first_"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(pageno).alias("p"), F.lower(F.hex("d_")).alias("h")))), lambda c: c["h"]), "").alias("hex_"))
+    oid = F.col(key).cast("string")
+    put = F.concat(F.lit("SELECT lo_put("), oid, F.lit(", "), (F.col("first_").cast("bigint") * page_size).cast("string"), F.lit(", '\\x"), F.col("hex_"), F.lit("');"))
+    puts = runs.select(key, "step", put.alias("statement"), "first_")
+    made = once.select(key).distinct().select(key, F.lit(-1).alias("step"), F.concat(F.lit("SELECT lo_create("), oid, F.lit(");")).alias("statement"), F.lit(-1).cast(puts.schema["first_"].dataType).alias("first_"))
+    return made.unionByName(puts).select(key, "step", F.col("first_").alias("page"), "statement")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import glob
 import os
 import re
+import warnings
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,14 @@ def detect_page_size(path: str) -> int:
     return best
 
 
+def _columns(options: dict[str, str]) -> list[ColumnLayout]:
+    """The columns of the options; with temporal=text dates and timestamps as text, which has infinities and far years."""
+    columns = parse_columns(options["columns"]) if options.get("columns") else []
+    if options.get("temporal") == "text":
+        columns = [replace(c, text=True) if c.kind in ("date", "timestamp") else c for c in columns]
+    return columns
+
+
 @dataclass
 class PageRange(InputPartition):
     file: str
@@ -68,7 +77,7 @@ class PageRange(InputPartition):
 class HeapReader(DataSourceReader):
     def __init__(self, options: dict[str, str], schema: T.StructType) -> None:
         self.options, self.wanted = options, schema
-        self.columns: list[ColumnLayout] = parse_columns(options["columns"]) if options.get("columns") else []
+        self.columns: list[ColumnLayout] = _columns(options)
         self.mode = options.get("scanmode", "auto")
         if self.mode not in ("auto", "standard", "carve"):
             raise ValueError(f"scanMode {self.mode!r}: use auto, standard or carve")
@@ -89,6 +98,9 @@ class HeapReader(DataSourceReader):
             part = part.strip().removeprefix("file://")
             files += [p for p in sorted(glob.glob(part)) if not re.search(r"(_(fsm|vm|init)|\.\d+)$", p)] if any(c in part for c in "*?[") else [part]
         self.files = [(f, segments(f)) for f in files]
+        for f in files:
+            if behind := segment_gaps(f):
+                warnings.warn(f"a segment of {f} is missing: {len(behind)} behind it aren't read; pgpages lists them", stacklevel=2)
         if not any(s for _, s in self.files):
             raise FileNotFoundError(f"no heap file at {options['path']}")
         first = next(s[0] for _, s in self.files if s)
@@ -129,7 +141,7 @@ class HeapReader(DataSourceReader):
                     f.seek((partition.first_in_file + done) * self.page_size)
                     data = f.read(n * self.page_size)
             except OSError:
-                continue  # an unreadable range gives no rows; the report compares pages
+                continue  # an unreadable range gives no rows here; pgpages tells of its pages
             t = self._tuples(data, partition.first_page + done)
             if self.visibility:
                 t = t.where(visible(t.head["infomask"], t.head["xmax"], self.visibility))
@@ -174,7 +186,7 @@ class HeapDataSource(DataSource):
     """Options: path (a relation's main file, a list or a glob), columns (`id int4, v text` or JSON), select (names of the
     columns to decode), pageSize, scanMode (auto, standard, carve), pagesPerPartition, encoding, toast (adds
     `<column>__toast`, the value ids of out-of-line values; full: sizes and method as well), header (false leaves the `_` columns out), visibility (live, all
-    or deleted by hint bits, before anything is decoded; without it every tuple comes), pageTransform (`module:function`
+    or deleted by hint bits, before anything is decoded; without it every tuple comes), temporal (text: dates and timestamps as text, with infinities), pageTransform (`module:function`
     applied to each page's bytes and number).
 
     Without columns the tuples come as they are, in `raw`; raw=false leaves that out too, as a count needs.
@@ -186,7 +198,7 @@ class HeapDataSource(DataSource):
 
     def schema(self) -> T.StructType:
         fields = [T.StructField(n, t) for n, t in _HEAD] if self.options.get("header", "true") == "true" else []
-        columns = [c for c in parse_columns(self.options["columns"]) if not c.dropped] if self.options.get("columns") else []
+        columns = [c for c in _columns(dict(self.options)) if not c.dropped]
         if not columns:
             return T.StructType([*fields, *([T.StructField("raw", T.BinaryType())] if self.options.get("raw", "true") == "true" else [])])
         if self.options.get("select"):
@@ -207,7 +219,9 @@ class HeapDataSource(DataSource):
 def register(spark) -> None:
     """Make `pgheap` and `pgclog` known to a session."""
     from pagewright.sources.clog import ClogDataSource
+    from pagewright.sources.pagestate import PageStateSource
 
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # bounds on _page choose the pages read
     spark.dataSource.register(HeapDataSource)
     spark.dataSource.register(ClogDataSource)
+    spark.dataSource.register(PageStateSource)

@@ -22,10 +22,13 @@ class ColumnLayout:
     align: int
     dropped: bool = False
     virtual: bool = False
+    text: bool = False
 
     @property
     def spark_type(self) -> T.DataType:
-        if self.kind in ("date", "timestamp"):  # infinities and far years have no Spark value: the text column holds them
+        if self.text:
+            return T.StringType()
+        if self.kind in ("date", "timestamp"):  # infinities and far years have no Spark value: NULL, unless read as text
             return T.DateType() if self.kind == "date" else T.TimestampNTZType()
         return NATIVE.get(self.kind, T.StringType())
 

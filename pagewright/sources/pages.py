@@ -150,7 +150,7 @@ def _fixed(column: ColumnLayout, flat: np.ndarray, at: np.ndarray, valid: np.nda
     n = column.length
     safe = np.where(valid, at, 0)
     cells = flat[safe[:, None] + np.arange(n)]
-    if column.kind in _FIXED:
+    if column.kind in _FIXED and not column.text:
         values = np.ascontiguousarray(cells).view(_FIXED[column.kind]).reshape(-1)
         if column.kind == "bool":
             return pa.array(values != 0, mask=~valid)
@@ -161,8 +161,13 @@ def _fixed(column: ColumnLayout, flat: np.ndarray, at: np.ndarray, valid: np.nda
             inside = valid & (np.abs(values) < 9_000_000_000_000_000_000 // 40)
             return pa.array(np.where(inside, values, 0) + _EPOCH_MICROS, mask=~inside).cast(pa.timestamp("us"))
         return pa.array(values.astype(_ARROW[column.kind].to_pandas_dtype()), mask=~valid)
-    raws = [bytes(c) if v else None for c, v in zip(cells, valid)]
-    return pa.array([decode(column.kind, r) for r in raws], type=pa.string())
+    # each distinct value is decoded once
+    whole = np.ascontiguousarray(cells[valid]).view(np.dtype((np.void, n))).reshape(-1)
+    distinct, place = np.unique(whole, return_inverse=True)
+    index = np.full(len(valid), -1, dtype=np.int32)
+    index[valid] = place
+    texts = pa.array([decode(column.kind, v.tobytes()) for v in distinct], type=pa.string())
+    return pa.DictionaryArray.from_arrays(pa.array(index, mask=~valid), texts).cast(pa.string()) if len(texts) else pa.nulls(len(valid), pa.string())
 
 
 def decode_columns(t: Tuples, columns: list[ColumnLayout], wanted: set[str], encoding: str = "utf-8") -> tuple[dict[str, pa.Array], np.ndarray, dict[str, pa.Array]]:

@@ -13,13 +13,72 @@ from pagewright.sources.layout import ColumnLayout, parse_columns
 _PACK = {"bool": "<?", "int2": "<h", "int4": "<i", "int8": "<q", "oid": "<I", "float4": "<f", "float8": "<d", "date": "<i", "timestamp": "<q", "timestamptz": "<q", "time": "<q", "money": "<q", "xid": "<I", "tinyint": "<b"}
 
 
+# Element type, its format and lowest index of vectors and arrays.
+_ARRAYS = {"int2vector": (21, "h", 0), "oidvector": (26, "I", 0), "_int2": (21, "h", 1), "_oid": (26, "I", 1), "_int4": (23, "i", 1)}
+
+
+def array_payload(kind: str, values: Sequence[int]) -> bytes:
+    """The payload of a one-dimensional array or vector of numbers without NULLs."""
+    element, fmt, low = _ARRAYS[kind]
+    if not len(values):
+        return struct.pack("<iiI", 0, 0, element)
+    return struct.pack("<iiIii", 1, 0, element, len(values), low) + struct.pack(f"<{len(values)}{fmt}", *map(int, values))
+
+
 def encode_value(column: ColumnLayout, value) -> bytes:
     """Bytes of a value as they lie in a tuple; bytes are taken as the payload of any variable-length type."""
+    if column.kind == "name" and isinstance(value, str):
+        return value.encode()[:63].ljust(64, b"\0")
+    if column.kind == "char" and isinstance(value, str):
+        return (value.encode() or b"\0")[:1]
     if column.length > 0:
-        return value if isinstance(value, bytes) else struct.pack(_PACK[column.kind], value)
+        return value if isinstance(value, bytes) else struct.pack(_PACK[column.kind], value if column.kind in ("bool", "float4", "float8") else int(value))
+    if column.kind in _ARRAYS and not isinstance(value, (bytes, str)):
+        return frame(array_payload(column.kind, value))
     return frame(value.encode() if isinstance(value, str) else value)
 
 
+def pointer(value_id: int, raw_size: int, stored_size: int, method: int, table: int) -> bytearray:
+    """A pointer to an out-of-line value, framed: raw_size includes four bytes of header; method 0 PGLZ, 1 LZ4."""
+    return bytearray(struct.pack("<BBIIII", 1, 18, raw_size, stored_size | method << 30, value_id, table))
+
+
+def pglz_compress(data: bytes) -> bytes:
+    """PGLZ without its header: greedy matches of 3 to 273 bytes at most 4095 back, found by a table of three-byte keys."""
+    out, at, seen = bytearray(), 0, {}
+    while at < len(data):
+        flags, group = 0, bytearray()
+        for bit in range(8):
+            if at >= len(data):
+                break
+            key = data[at : at + 3]
+            back, size = at - seen.get(key, -1), 0
+            if len(key) == 3 and key in seen and back <= 4095:
+                while size < 273 and at + size < len(data) and data[at + size] == data[at + size - back]:
+                    size += 1
+            step = size if size >= 3 else 1
+            if size >= 3:
+                flags |= 1 << bit
+                low = min(size - 3, 15)
+                group += bytes((back >> 4 & 0xF0 | low, back & 0xFF))
+                if low == 15:
+                    group.append(size - 18)
+            else:
+                group.append(data[at])
+            for i in range(at, at + step):
+                seen[data[i : i + 3]] = i
+            at += step
+        out += bytes((flags,)) + group
+    return bytes(out)
+
+
+def lz4_compress(data: bytes) -> bytes:
+    """One LZ4 block."""
+    import pyarrow as pa
+
+    return pa.compress(data, codec="lz4_raw", asbytes=True)
+
+
 def make_tuple(columns: Sequence[ColumnLayout], values: Sequence, xmin: int = 100, xmax: int = 0, infomask: int = 0x900, page: int = 0, item: int = 1, infomask2: int = 0) -> bytes:
     """A heap tuple: header, null bitmap where needed, aligned values. A value of type bytearray is already framed."""
     nulls = any(v is None for v in values)
@@ -106,6 +165,45 @@ def write_heap(df: DataFrame, folder: str, columns: str, page_size: int = 8192)
     return df.mapInPandas(run, "file string, n_pages bigint")
 
 
+def write_relation(df: DataFrame, path: str, columns: str, page_size: int = 8192, parts: int = 4) -> None:
+    """Write a DataFrame as one relation, a segment file for each of `parts` partitions. Columns of the layout that df lacks
+    get zeros, empty text or false; `_xmin`, `_xmax`, `_infomask` set tuple headers. A value of a variable-length column
+    `c` is taken as framed where `c__framed` is true."""
+    layout = parse_columns(columns)
+    path = path.removeprefix("file://")
+    empty = {"bool": False, "name": "", "char": "", "float4": 0.0, "float8": 0.0}
+
+    def run(batches):
+        import os
+
+        import pandas as pd
+        from pyspark import TaskContext
+
+        def rows():
+            for batch in batches:
+                heads = [batch[c].tolist() if c in batch else None for c in ("_xmin", "_xmax", "_infomask")]
+                lists = []
+                for c in layout:
+                    if c.name not in batch:
+                        lists.append([empty.get(c.kind, 0) if c.length > 0 else None] * len(batch))
+                        continue
+                    values = [None if v is None or (isinstance(v, float) and v != v) else v for v in batch[c.name].tolist()]
+                    if f"{c.name}__framed" in batch:
+                        values = [bytearray(v) if f else v for v, f in zip(values, batch[f"{c.name}__framed"])]
+                    lists.append(values)
+                for i, values in enumerate(zip(*lists)):
+                    yield values, {k: int(h[i]) for k, h in zip(("xmin", "xmax", "infomask"), heads) if h}
+
+        number = TaskContext.get().partitionId()
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(f"{path}.{number}" if number else path, "wb") as f:
+            for page in make_pages(layout, rows(), page_size):
+                f.write(page)
+        yield pd.DataFrame({"part": [number]})
+
+    df.repartition(parts).mapInPandas(run, "part int").collect()  # as many rows as parts
+
+
 def clog_segment(statuses: dict[int, int]) -> bytes:
     """One segment of the commit log from statuses by position in it."""
     out = bytearray(262_144)
