@@ -60,6 +60,11 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return back
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a folder below the shared one removed when the session's process ends."""
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+
+
 def materialize_counted(df: DataFrame, **counted: Column) -> tuple[DataFrame, dict[str, int]]:
     """materialize() with aggregates of df's rows, taken while they are written: no job of their own."""
     watch = Observation()

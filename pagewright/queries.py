@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.plans import registry
+from pagewright.plans import file_queries, registry  # noqa: F401
 from pagewright.operators import changefeed, drift, hierarchy, orphan_catalog, orphans
 
 

@@ -16,8 +16,8 @@ from pagewright.operators.catalog import FIRST_USER_OID
 from pagewright.operators.visibility import admitted, visibility
 from pagewright.sources.control import databases, parse_control, relation_path
 from pagewright.sources.heap import HeapDataSource, register
-from pagewright.sources.layout import ALIGNS, ColumnLayout, dump_columns
-from pagewright.sources.pages import _TEXTS, _decoded
+from pagewright.sources.layout import ALIGNS, ColumnLayout, dump_columns, parse_columns
+from pagewright.sources.pages import _TEXTS, _decoded, decode_columns, standard_tuples
 
 # Oids of the catalogs, and their columns by release (PostgreSQL 12 to 17).
 CATALOG_OIDS = {"pg_type": 1247, "pg_attribute": 1249, "pg_proc": 1255, "pg_class": 1259, "pg_authid": 1260, "pg_auth_members": 1261, "pg_database": 1262, "pg_constraint": 2606, "pg_index": 2610, "pg_inherits": 2611, "pg_largeobject": 2613, "pg_namespace": 2615, "pg_sequence": 2224, "pg_enum": 3501, "pg_largeobject_metadata": 2995, "pg_partitioned_table": 3350, "pg_attrdef": 2604, "pg_description": 2609, "pg_extension": 3079, "pg_depend": 2608, "pg_trigger": 2620, "pg_rewrite": 2618, "pg_opclass": 2616, "pg_collation": 3456, "pg_language": 2612}
@@ -141,14 +141,14 @@ class Cluster:
 
     def classes(self) -> DataFrame:
         """Current rows of pg_class. The version at the end of an update chain counts, then the last one in the file."""
-        cls = self.catalog("pg_class")
+        cls = self.optional("pg_class")
         end = ((F.col("_ctid_page") == F.col("_page")) & (F.col("_ctid_item") == F.col("_item"))).cast("int")
         keep = [c for c in cls.columns if not c.startswith("_") and c != "oid"]
         return cls.groupBy("oid").agg(F.max_by(F.struct(*keep), F.struct(end, "_page", "_item")).alias("r")).select("oid", "r.*")
 
     def namespaces(self) -> DataFrame:
         """Names of schemas: relnamespace, schema_name."""
-        return self.catalog("pg_namespace").groupBy(F.col("oid").alias("relnamespace")).agg(F.max_by("nspname", F.struct("_page", "_item")).alias("schema_name"))
+        return self.optional("pg_namespace").groupBy(F.col("oid").alias("relnamespace")).agg(F.max_by("nspname", F.struct("_page", "_item")).alias("schema_name"))
 
     def relations(self) -> DataFrame:
         """Current relations: oid, schema_name, relname, relkind, relfilenode, reltablespace, toast_rel_id, toast_filenode,
@@ -162,7 +162,7 @@ class Cluster:
     def columns(self) -> DataFrame:
         """Current columns of all relations: attrelid, attnum, attname, atttypid, attlen, attalign, atttypmod, attnotnull,
         attidentity, attgenerated, attisdropped, type_name. Of several versions the one that isn't dropped, then the highest xmin, then the last."""
-        att = self.catalog("pg_attribute").where("attnum > 0")
+        att = self.optional("pg_attribute").where("attnum > 0")
         keep = ["attname", "atttypid", "attlen", "attalign", "atttypmod", "attnotnull", "attidentity", "attgenerated", "attisdropped"]
         best = F.struct((~F.col("attisdropped")).cast("int"), "_xmin", "_page", "_item")
         att = att.groupBy("attrelid", "attnum").agg(F.max_by(F.struct(*keep), best).alias("r")).select("attrelid", "attnum", "r.*")
@@ -375,6 +375,33 @@ class Cluster:
         rows = relation_statements(self).where(F.col("oid") == rel["oid"]).orderBy("step", "name")
         return [r.statement for r in rows.collect()]
 
+    def sequence_states(self) -> DataFrame:
+        """Where each sequence stands, from its own file: oid, last_value, is_called. The paths come to the driver, one for
+        each sequence; the files are read on the executors."""
+        own = self.relations().where("relkind = 'S'").select("oid", "relfilenode", "reltablespace").collect()
+        paths = [(r.oid, relation_path(self.root, self.database, r.relfilenode, r.reltablespace)) for r in own]
+
+        def read(batches):
+            import pandas as pd
+
+            columns = parse_columns("last_value int8, log_cnt int8, is_called bool")
+            for batch in batches:
+                out = []
+                for oid, path in zip(batch["oid"], batch["path"]):
+                    try:
+                        with open(path, "rb") as f:
+                            t = standard_tuples(f.read(8192), 8192, 0)
+                    except OSError:
+                        continue
+                    if len(t):
+                        values = decode_columns(t, columns, {"last_value", "is_called"})[0]
+                        out.append((oid, values["last_value"][0].as_py(), values["is_called"][0].as_py()))
+                yield pd.DataFrame(out, columns=["oid", "last_value", "is_called"])
+
+        if not paths:
+            return self.spark.createDataFrame([], "oid bigint, last_value bigint, is_called boolean")
+        return self.spark.createDataFrame(paths, "oid bigint, path string").mapInPandas(read, "oid bigint, last_value bigint, is_called boolean")
+
     def roles(self) -> DataFrame:
         return self.catalog("pg_authid").select("oid", "rolname", "rolsuper", "rolinherit", "rolcreaterole", "rolcreatedb", "rolcanlogin", "rolreplication", "rolbypassrls", "rolconnlimit", "rolpassword", "rolvaliduntil")
 

@@ -20,7 +20,7 @@ _ARRAYS = {"int2vector": (21, "h", 0), "oidvector": (26, "I", 0), "_int2": (21,
 def array_payload(kind: str, values: Sequence[int]) -> bytes:
     """The payload of a one-dimensional array or vector of numbers without NULLs."""
     element, fmt, low = _ARRAYS[kind]
-    if not len(values):
+    if low and not len(values):  # an empty vector still has one dimension
         return struct.pack("<iiI", 0, 0, element)
     return struct.pack("<iiIii", 1, 0, element, len(values), low) + struct.pack(f"<{len(values)}{fmt}", *map(int, values))
 
@@ -185,7 +185,7 @@ def write_relation(df: DataFrame, path: str, columns: str, page_size: int = 8192
                 lists = []
                 for c in layout:
                     if c.name not in batch:
-                        lists.append([empty.get(c.kind, 0) if c.length > 0 else None] * len(batch))
+                        lists.append([empty.get(c.kind, 0) if c.length > 0 and c.kind != "timestamptz" else None] * len(batch))
                         continue
                     values = [None if v is None or (isinstance(v, float) and v != v) else v for v in batch[c.name].tolist()]
                     if f"{c.name}__framed" in batch:

@@ -29,7 +29,7 @@ _CLASS, _ATTRDEF, _PROC = 1259, 2604, 1255
 def numbers(column: Column | str, separator: str = " ") -> Column:
     """An array of numbers from the text of a vector (`1 2`) or array (`{1,2}`); NULL stays NULL."""
     text = F.translate(F.col(column) if isinstance(column, str) else column, "{}", "")
-    return F.transform(F.filter(F.split(text, separator), lambda x: x != ""), lambda x: x.cast("bigint"))
+    return F.filter(F.transform(F.split(text, separator), lambda x: x.try_cast("bigint")), lambda x: x.isNotNull())
 
 
 def written(df: DataFrame, make: Callable[..., Iterator[tuple]]) -> DataFrame:
@@ -91,10 +91,10 @@ def indexes(cluster: Cluster) -> DataFrame:
 
 
 def _names(columns) -> list[str]:
-    """Names by attribute number, from 1 on; dropped ones keep their place."""
+    """Names by attribute number, from 1 on; dropped and unknown ones are empty but keep their place."""
     out: list[str] = []
     for c in columns:
-        out += [""] * (c["attnum"] - 1 - len(out)) + [c["attname"] or ""]
+        out += [""] * (c["attnum"] - 1 - len(out)) + ["" if c["attisdropped"] else c["attname"] or ""]
     return out
 
 
@@ -132,14 +132,14 @@ def table_statements(cluster: Cluster) -> DataFrame:
             default = expressions.text(c["adbin"]) if c["adbin"] else ""
             stored = c["attgenerated"] == "s"
             made.append(O.Column(c["attname"], _sql_type(c), bool(c["attnotnull"]), "" if stored else default, c["attidentity"] or "", default if stored else "", "", bool(c["attisdropped"]), c["comment"] or ""))
-        known = lambda nums: [names[n - 1] for n in nums if 0 < n <= len(names)]
+        known = lambda nums: [names[n - 1] for n in nums if 0 < n <= len(names) and names[n - 1]]
         key = known(_items(r.key) or _items(r.index_key))
         by, by_columns = "", []
         if r.p is not None:
             attributes = [int(x) for x in (r.p["partattrs"] or "").split()]
             made_of = iter(expressions.list(r.p["partexprs"]) if r.p["partexprs"] else [])
             by_columns = known(attributes)
-            by = O.partition_clause(r.p["partstrat"], [quote_ident(names[n - 1]) if n else f"({next(made_of, '')})" for n in attributes])
+            by = O.partition_clause(r.p["partstrat"], [quote_ident(names[n - 1]) if n else f"({next(made_of, '')})" for n in attributes if n <= len(names)])
         of = O.qualified(_text(r.parent_schema), r.parent_name) if _text(r.parent_name) else ""
         bound = partition_bound(r.bound) if of else ""
         checks = {c["conname"]: expressions.text(c["conbin"] or "") for c in _items(r.checks)}
@@ -170,7 +170,7 @@ def index_statements(cluster: Cluster) -> DataFrame:
         options = [int(x) for x in _items(r.indoption)]
         keys, complete = [], True
         for i, n in enumerate(int(x) for x in r.indkey):
-            text = quote_ident(names[n - 1]) if 0 < n <= len(names) else f"({t})" if n == 0 and (t := next(texts, "")) else ""
+            text = (quote_ident(names[n - 1]) if names[n - 1] else "") if 0 < n <= len(names) else f"({t})" if n == 0 and (t := next(texts, "")) else ""
             complete &= bool(text)
             flag = options[i] if i < len(options) else 0
             # descending indexes begin with NULLs, ascending ones end with them, unless it is said
