@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import argparse
+import glob
+import os
 import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.ddl.scripts import delimiter, guard_output, session_header, split_names
+from pagewright.ddl.scripts import delimiter, guard_output, import_script, output_path, session_header, split_names
 from pagewright.operators import formatting
+from pagewright.sources.control import relation_path
 
 
 def parse(argv: list[str] | None = None) -> argparse.Namespace:
@@ -21,7 +24,7 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--all-tables", action="store_true")
     p.add_argument("--schema")
     what = p.add_mutually_exclusive_group()
-    for flag in ("sql", "data", "text", "count", "list", "list-all", "list-db", "roles", "large-objects", "export-meta"):
+    for flag in ("sql", "data", "text", "count", "list", "list-all", "list-db", "roles", "roles-sql", "large-objects", "large-objects-sql", "export-meta", "full-schema", "pages"):
         what.add_argument(f"--{flag}", action="store_true")
     p.add_argument("--ddl", action="store_true")
     p.add_argument("--fields")
@@ -34,9 +37,12 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--no-complete-insert", action="store_true")
     p.add_argument("--header", action="store_true")
     p.add_argument("--delimiter")
-    p.add_argument("--encoding", default="utf-8")
+    p.add_argument("--encoding", default="auto", help="a codec; auto: by pg_database")
     p.add_argument("--page-size", type=int)
     p.add_argument("--tz")
+    p.add_argument("--report", help="write what was found of the chosen tables as a JSON document to this folder")
+    p.add_argument("--checksum", action="store_true", help="with --output: write size, crc32 and md5 of each file")
+    p.add_argument("--import-script", help="with --output: write a shell script that loads the files")
     p.add_argument("--roles-nopassword", action="store_true")
     p.add_argument("--large-object-oids")
     p.add_argument("--output", "-o")
@@ -51,6 +57,8 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
         if not (a.data or a.text):
             p.error("--delimiter goes with --data or --text")
         a.delimiter = delimiter(a.delimiter)
+    if (a.checksum or a.import_script) and not a.output:
+        p.error("--checksum and --import-script go with --output")
     if a.limit < 0 or a.batch_rows < 1:
         p.error("--limit and --batch-rows can't be negative")
     if a.page_size not in (None, 8192, 16384, 32768):
@@ -58,20 +66,23 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     return a
 
 
-def lines(df, a: argparse.Namespace, name: str):
-    """One text column of the chosen format."""
-    columns = [c for c in df.columns if c not in ("_state", "_toast_state")]
-    if a.data:
-        made = formatting.csv_line(df, columns, a.delimiter or ",")
-    elif a.text:
-        made = formatting.copy_line(df, columns, a.delimiter or "\t")
-    else:
-        made = formatting.insert_line(df, name, columns, not a.no_complete_insert)
-    return df.select(made.alias("value"))
+def show(df) -> None:
+    """All rows, tabs between the values; a row at a time comes to the driver."""
+    print(*df.columns, sep="\t")
+    for r in df.toLocalIterator():
+        print(*("" if v is None else v for v in r), sep="\t")
+
+
+def statements(df) -> None:
+    for r in df.orderBy("step", "name").select("statement").toLocalIterator():
+        print(r.statement)
 
 
 def main(argv: list[str] | None = None) -> None:
     a = parse(argv)
+    from pagewright.operators import export
+    from pagewright.operators.toast import page_statements
+    from pagewright.sources import schema
     from pagewright.sources.bootstrap import Cluster, export_meta
     from pagewright.sources.control import databases
 
@@ -80,51 +91,89 @@ def main(argv: list[str] | None = None) -> None:
         print(*databases(a.datadir), sep="\n")
         return
     cluster = Cluster(spark, a.datadir, a.db_oid)
+    oids = [int(x) for x in a.large_object_oids.split(",")] if a.large_object_oids else None
     if a.list or a.list_all:
-        cluster.tables(a.list_all).orderBy("schema_name", "relname").show(10_000, False)
-        return
-    if a.roles:
+        show(cluster.tables(a.list_all).orderBy("schema_name", "relname"))
+    elif a.roles:
         rows = cluster.roles()
-        (rows.drop("rolpassword") if a.roles_nopassword else rows).show(10_000, False)
-        return
-    if a.large_objects:
-        oids = [int(x) for x in a.large_object_oids.split(",")] if a.large_object_oids else None
-        cluster.large_objects(oids).drop("value").show(10_000, False)
-        return
-    if a.export_meta:
+        show(rows.drop("rolpassword") if a.roles_nopassword else rows)
+    elif a.roles_sql:
+        statements(schema.role_statements(cluster, not a.roles_nopassword))
+    elif a.full_schema:
+        print(session_header(timezone=a.tz), end="")
+        statements(schema.database_statements(cluster))
+    elif a.large_objects:
+        show(cluster.large_objects(oids).drop("value"))
+    elif a.large_objects_sql:
+        pages = cluster.catalog("pg_largeobject").select("loid", "pageno", "data")
+        for r in page_statements(pages.where(F.col("loid").isin(oids)) if oids else pages).orderBy("loid", "page").select("statement").toLocalIterator():
+            print(r.statement)
+    elif a.export_meta:
         export_meta(cluster).write.text(a.output or "meta.json")
-        return
-    chosen = cluster.tables().where(F.col("relkind") == "r")
+    else:
+        tables(a, spark, cluster, export)
+
+
+def tables(a: argparse.Namespace, spark: SparkSession, cluster, export) -> None:
+    """Counts, statements or rows of the chosen tables; a partitioned one stands for its leaves."""
+    chosen = cluster.tables()
     if a.schema:
         chosen = chosen.where(F.col("schema_name") == a.schema)
-    names = split_names(a.tables) if a.tables else [f"{r.schema_name}.{r.relname}" for r in chosen.select("schema_name", "relname").collect()]
+    names = split_names(a.tables) if a.tables else [f"{r.schema_name}.{r.relname}" for r in chosen.where("relkind = 'r'").orderBy("schema_name", "relname").select("schema_name", "relname").collect()]
+    parents = {n: cluster.leaves(n) for n in names if cluster.find(n)["relkind"] == "p"}
+    names = [leaf for n in names for leaf in ((n,) if a.ddl else parents.get(n, (n,)))]
     mode = "deleted" if a.only_deleted else "all" if a.deleted else "live"
-    options = {"encoding": a.encoding} | ({"pageSize": str(a.page_size)} if a.page_size else {})
-    clog = spark.read.format("pgclog").load(f"{a.datadir}/pg_xact") if a.clog else None
+    encoding = cluster.encoding() if a.encoding == "auto" else a.encoding
+    options = {"encoding": encoding, "temporal": "text"} | ({"pageSize": str(a.page_size)} if a.page_size else {})
+    clog = cluster.commit_log() if a.clog else None
+    total, written = 0, []
+    if a.sql and not a.output:
+        print(session_header(timezone=a.tz), end="")
     for name in names:
+        rel = cluster.find(name)
         if a.count:
-            print(name, cluster.count(name))
+            n = cluster.count(name)
+            total += n
+            print(name, n)
             continue
         if a.ddl:
             print("\n".join(cluster.ddl(name)))
             continue
-        rows = cluster.read(name, mode, a.fields.split(",") if a.fields else None, clog, toast_state=True, **options)
+        if a.pages:
+            show(cluster.pages(name))
+            continue
+        rows = cluster.read(name, mode, a.fields.split(",") if a.fields else None, clog, toast_state=True, place=True, **options)
         if a.limit:
-            rows = rows.limit(a.limit)
+            rows = rows.orderBy("_page", "_item").limit(a.limit)
         lost = rows.where(F.col("_toast_state").isNotNull()).count()
         if lost:
             print(f"{name}: {lost} rows with out-of-line values that aren't whole, exported as NULL", file=sys.stderr)
-        out = lines(rows, a, name.rpartition(".")[2])
+        form = "csv" if a.data else "text" if a.text else "sql"
+        out = export.lines(rows, rel["relname"], form, a.delimiter or "", not a.no_complete_insert, a.batch_rows)
         if a.output:
-            guard_output(a.output, [a.datadir])
-            out.write.text(f"{a.output}/{name}")
-        else:
-            if a.sql:
-                print(session_header(timezone=a.tz), end="")
-            if a.header:
-                print(formatting.csv_header([c for c in rows.columns if c not in ("_state", "_toast_state")], a.delimiter or ","))
-            for r in out.toLocalIterator():
-                print(r.value)
+            path = output_path(a.output, rel["schema_name"], rel["relname"], {"csv": "csv", "text": "txt", "sql": "sql"}[form])
+            for source in (a.datadir, relation_path(cluster.root, cluster.database, rel["relfilenode"], rel["reltablespace"])):
+                guard_output(path, [source])
+            if os.path.realpath(path).startswith(os.path.realpath(a.datadir) + os.sep):
+                raise ValueError(f"{path} lies inside the data folder")
+            out.write.text(path)
+            written.append((path, f"{rel['schema_name']}.{rel['relname']}"))
+            continue
+        if a.header:
+            print(formatting.csv_header(export.shown(rows) + (["_state"] if "_state" in rows.columns else []), a.delimiter or ","))
+        for r in out.toLocalIterator():
+            print(r.value)
+    if a.count and len(names) > 1:
+        print("total", total)
+    if a.report:
+        export.report_document(export.entries(cluster, names)).write.mode("overwrite").text(a.report)
+    files = [(p, t) for folder, t in written for p in sorted(glob.glob(f"{folder}/part-*"))]
+    if a.checksum and files:
+        export.checksums(spark, [p for p, _ in files]).orderBy("path").write.mode("overwrite").json(os.path.join(a.output, "checksums.json"))
+    if a.import_script and files:
+        kind = "" if not (a.data or a.text) else ".csv" if a.data else ".txt"
+        with open(a.import_script, "w") as f:
+            f.write(import_script([(p, t) for p, t in files], timezone=a.tz, form=kind))
 
 
 if __name__ == "__main__":

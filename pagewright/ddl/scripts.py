@@ -38,10 +38,11 @@ def guard_output(output: str, sources: Iterable[str]) -> None:
                 raise ValueError(f"{output} would overwrite the source {path}")
 
 
-def import_script(files: Sequence[tuple[str, str]], database: str = "", timezone: str | None = None) -> str:
+def import_script(files: Sequence[tuple[str, str]], database: str = "", timezone: str | None = None, form: str = "") -> str:
     """A shell script that loads files (path, table): structure first, then data, then what follows; in order of names.
 
-    The rank comes from a file's ending: .ddl.sql, then .sql, .csv and .txt, then .post.sql.
+    The rank comes from a file's ending: .ddl.sql, then .sql, .csv and .txt, then .post.sql. `form` (.csv or .txt) tells what
+    files are whose endings don't.
     """
 
     def rank(path: str) -> tuple[int, str]:
@@ -51,10 +52,10 @@ def import_script(files: Sequence[tuple[str, str]], database: str = "", timezone
     if timezone:
         lines.append(f"export PGTZ={shlex.quote(timezone)}")
     for path, table in sorted(files, key=lambda f: rank(f[0])):
-        if path.endswith(".sql"):
+        if path.endswith(".sql") or not (form or path.endswith((".csv", ".txt"))):
             lines.append(f'psql -v ON_ERROR_STOP=1 -d "$DB" -f {shlex.quote(path)}')
         else:
-            form = "format csv, null '\\N'" if path.endswith(".csv") else "format text"
+            form = "format csv, null '\\N'" if (form or path).endswith(".csv") else "format text"
             command = f"\\copy {table} from '{path}' with ({form})"
             lines.append(f'psql -v ON_ERROR_STOP=1 -d "$DB" -c {shlex.quote(command)}')
     return "\n".join(lines) + "\n"

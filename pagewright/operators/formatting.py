@@ -104,15 +104,15 @@ def insert_line(df: DataFrame, table: str, columns: Sequence[str], complete: boo
     return F.concat(F.lit(insert_prefix(table, columns if complete else None)), insert_values(df, columns, oracle_empty), F.lit(";"))
 
 
-def insert_batches(df: DataFrame, table: str, columns: Sequence[str], order: Sequence[str], size: int, breaks: Column | None = None) -> DataFrame:
+def insert_batches(df: DataFrame, table: str, columns: Sequence[str], order: Sequence[str], size: int, breaks: Column | None = None, lead: Column | None = None) -> DataFrame:
     """Multi-row INSERT statements: batch (from 0, in `order`), n_rows, statement.
 
     At most `size` rows make a statement, and a row for which `breaks` holds begins one by itself and is followed by
-    another. Rows are placed without a global window: sorted by range over all partitions, counted per partition, and
+    another; `lead` is put before such a statement. Rows are placed without a global window: sorted by range over all partitions, counted per partition, and
     the counts of the partitions before (one row each) are added.
     """
     breaks = F.coalesce(breaks, F.lit(False)) if breaks is not None else F.lit(False)
-    placed = df.select(*order, insert_values(df, columns).alias("v_"), breaks.alias("alone_"))
+    placed = df.select(*order, insert_values(df, columns).alias("v_"), breaks.alias("alone_"), (F.lit("") if lead is None else F.coalesce(lead, F.lit(""))).alias("lead_"))
     placed = materialize(placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("p_", F.spark_partition_id()).withColumn("i_", F.monotonically_increasing_id()))
     # islands: a run of rows between breaks; its rows are numbered within the run
     within = Window.partitionBy("p_").orderBy("i_")
@@ -127,8 +127,8 @@ def insert_batches(df: DataFrame, table: str, columns: Sequence[str], order: Seq
     start = F.coalesce(own, "break_at", F.lit(0))
     rows = rows.withColumn("in_run", F.col("pos") - start)  # 0: the breaking row, from 1: rows after it
     rows = rows.withColumn("part", F.when(F.col("alone_"), F.lit(-1)).otherwise(F.floor((F.col("in_run") - 1) / size)).cast("bigint"))
-    made = rows.groupBy("island", "part").agg(F.count(F.lit(1)).alias("n_rows"), F.min("pos").alias("first_pos"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v_"))), lambda r: r["v_"]), ", ").alias("values_"))
-    return made.select("first_pos", "n_rows", F.concat(F.lit(insert_prefix(table, columns)), F.col("values_"), F.lit(";")).alias("statement"))
+    made = rows.groupBy("island", "part").agg(F.count(F.lit(1)).alias("n_rows"), F.min("pos").alias("first_pos"), F.coalesce(F.max(F.when(F.col("alone_"), F.col("lead_"))), F.lit("")).alias("lead_"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v_"))), lambda r: r["v_"]), ", ").alias("values_"))
+    return made.select("first_pos", "n_rows", F.concat("lead_", F.lit(insert_prefix(table, columns)), F.col("values_"), F.lit(";")).alias("statement"))
 
 
 def quoted_name(schema: Column, table: Column) -> Column:

@@ -173,7 +173,7 @@ def cluster_sequence_ddl(spark, folder):
     out.put("pg_sequence", nation.select(oid.alias("seqrelid"), F.lit(20).alias("seqtypid"), (F.col("n_nationkey") + 1).alias("seqstart"), (F.col("n_regionkey") + 1).alias("seqincrement"), F.lit(2**63 - 1).alias("seqmax"), F.lit(1).alias("seqmin"), F.lit(1).alias("seqcache"), (F.col("n_regionkey") == 2).alias("seqcycle")))
     for r in nation.collect():  # one file for each of 25 sequences
         state = spark.createDataFrame([(r.n_nationkey * 1_000_000_007, 0, r.n_nationkey > 0)], "last_value bigint, log_cnt bigint, is_called boolean")
-        out.table(20_000 + r.n_nationkey, state.coalesce(1), "last_value int8, log_cnt int8, is_called bool")
+        out.table(20_000 + r.n_nationkey, state, "last_value int8, log_cnt int8, is_called bool", parts=1)
     cluster = out.cluster()
     rows = schema.sequence_statements(cluster, cluster.sequence_states())
     return rows.select("oid", F.element_at(F.split("name", " "), -1).cast("int").alias("part"), "statement")

@@ -38,8 +38,8 @@ class Folder:
     def put_shared(self, name: str, df: DataFrame) -> None:
         write_relation(df, f"{self.root}/global/{CATALOG_OIDS[name]}", catalog_layout(name, VERSION))
 
-    def table(self, number: int, df: DataFrame, layout: str) -> None:
-        write_relation(df, f"{self.root}/base/{DATABASE}/{number}", layout)
+    def table(self, number: int, df: DataFrame, layout: str, parts: int = 4) -> None:
+        write_relation(df, f"{self.root}/base/{DATABASE}/{number}", layout, parts=parts)
 
     def rows(self, name: str, rows: list[dict]) -> None:
         """Write a catalog from a few rows."""

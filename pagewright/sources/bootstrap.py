@@ -266,8 +266,9 @@ class Cluster:
             raise LookupError(f"no relation {name}")
         return found[0].asDict()
 
-    def read(self, name: str, mode: str = "live", select: list[str] | None = None, clog: DataFrame | None = None, toast_state: bool = False, **options: str) -> DataFrame:
-        """Rows of a table: decoded columns without headers; mode live, all or deleted (the last two add `_state`).
+    def read(self, name: str, mode: str = "live", select: list[str] | None = None, clog: DataFrame | None = None, toast_state: bool = False, place: bool = False, **options: str) -> DataFrame:
+        """Rows of a table: decoded columns without headers; mode live, all or deleted (the last two add `_state`). place adds
+        `_page` and `_item`.
 
         Out-of-line values are joined with their pieces. One that can't be had whole is NULL; toast_state adds
         `_toast_state`, a map of those columns and their states (missing, gap, short, conflict, broken), NULL where all is well.
@@ -292,7 +293,7 @@ class Cluster:
         rows, states = self._with_toast(rows, name, rel, [c for c in columns if f"{c.name}__toast" in rows.columns], mode, options)
         pairs = F.map_filter(F.map_from_arrays(F.array(*[F.lit(c) for c, _ in states]), F.array(*[s for _, s in states])), lambda _, v: v.isNotNull()) if states else F.create_map().cast("map<string,string>")
         state_map = F.when(F.size(pairs) > 0, pairs).alias("_toast_state")
-        return rows.select(*shown, *([] if mode == "live" else ["_state"]), *([state_map] if toast_state else []))
+        return rows.select(*shown, *(["_page", "_item"] if place else []), *([] if mode == "live" else ["_state"]), *([state_map] if toast_state else []))
 
     def _with_toast(self, rows: DataFrame, name: str, rel: dict, columns: list[ColumnLayout], mode: str, options: dict[str, str]) -> tuple[DataFrame, list[tuple[str, Column]]]:
         """Rows with out-of-line values in place, and the state of each column that has any (NULL where whole)."""
