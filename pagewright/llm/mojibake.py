@@ -47,6 +47,8 @@ MARGIN = 1.0
 STRUCTURE_BONUS = 1.5
 #: What a transition that no writing has costs (natural logarithm).
 ODD_COST = 3.0
+#: How far below the best a partly scored candidate must be to be given up; terms above zero come from collisions only.
+SLACK = 4.0
 _LOST = re.compile("�")
 _ASKED = re.compile(r"(?:^|(?<=[^\W\d_]))\?(?=[^\W\d_])")
 #: Encodings that make question marks of the characters they don't have.
@@ -244,14 +246,24 @@ class Model:
             out += math.log((n[three[i]] + 2.0 * pair) / (n[two[i]] + 2.0))
         return out - ODD_COST * (oddness(left + part) - oddness(left))
 
-    def score(self, word: str) -> float:
-        """Logarithm of a word's probability, less the cost of odd shapes."""
-        three, two, one = grams(word)
-        n, total, out = self.counts, self.total, 0.0
-        for i, t in enumerate(three):
-            own = (n[one[i + 2]] + 0.2) / (total + 2000.0)
-            pair = (n[two[i + 1]] + 2.0 * own) / (n[one[i + 1]] + 2.0)
-            out += math.log((n[t] + 2.0 * pair) / (n[two[i]] + 2.0))
+    def score(self, word: str, floor: float = -math.inf) -> float:
+        """Logarithm of a word's probability, less the cost of odd shapes. A word that falls SLACK below `floor` isn't scored
+        to its end: what follows can't lift it again."""
+        out, floor = 0.0, floor - SLACK
+        (a3, b3), (a2, b2), (a1, b1) = TABLES
+        m3, m2, m1 = (1 << b3) - 1, (1 << b2) - 1, (1 << b1) - 1
+        n, total, log = self.counts, self.total + 2000.0, math.log
+        x = y = 2
+        one = n[a1 + (y * 0x9E3779B1 >> 5 & m1)]
+        two = n[a2 + ((x * 0x85EBCA6B + y * 0xC2B2AE35) >> 7 & m2)]
+        for z in (*map(ord, word), 3):
+            next_one = n[a1 + (z * 0x9E3779B1 >> 5 & m1)]
+            next_two = n[a2 + ((y * 0x85EBCA6B + z * 0xC2B2AE35) >> 7 & m2)]
+            pair = (next_two + 2.0 * (next_one + 0.2) / total) / (one + 2.0)
+            out += log((n[a3 + ((x * 0x85EBCA6B + y * 0xC2B2AE35 + z * 0x27D4EB2F) >> 7 & m3)] + 2.0 * pair) / (two + 2.0))
+            if out < floor:
+                return out
+            x, y, one, two = y, z, next_one, next_two
         return out - ODD_COST * oddness(word)
 
 
@@ -316,10 +328,12 @@ def candidates(word: str, model: Model | None = None) -> list[tuple[str, str, st
             if model is not None and len(parts) > 1:
                 add(replaced(word, parts, model), read, written, False)
 
+    seen: set[bytes] = set()
     for read in READ_AS_SINGLE:
         raw = to_bytes(word, read)
-        if raw is None:
+        if raw is None or raw in seen:
             continue
+        seen.add(raw)
         text, covered, made = decode_spans(word, raw, UTF8_SPANS, "utf-8")
         if covered:
             add(text, read, "utf-8", covered == high)
@@ -378,7 +392,7 @@ class Detector:
             deeper = []
             for now, how in level:
                 for text, read, written, sure in candidates(now, self.model):
-                    score, said = self.model.score(text) + STRUCTURE_BONUS * sure, f"{how}, {written} as {read}" if how else f"{written} as {read}"
+                    score, said = self.model.score(text, best[0] - STRUCTURE_BONUS * sure) + STRUCTURE_BONUS * sure, f"{how}, {written} as {read}" if how else f"{written} as {read}"
                     if score > best[0]:
                         best = (score, text, said)
                     if sure and text not in known:
