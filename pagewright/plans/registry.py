@@ -522,9 +522,9 @@ def large_object_holes(spark, folder):
     return toast.large_objects(pages, 512, "doc_id").select("doc_id", "size", "n_holes")
 
 
-@query("SELECT coalesce(d.doc_id, o.o_orderkey) AS id, CASE WHEN o.o_orderkey IS NULL THEN 'data only' WHEN d.doc_id IS NULL THEN 'empty' ELSE 'both' END AS presence FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) d FULL JOIN orders o ON o.o_orderkey = d.doc_id")
+@query("SELECT coalesce(d.doc_id, o.o_orderkey) AS id, CASE WHEN o.o_orderkey IS NULL THEN 'data only' WHEN d.doc_id IS NULL THEN 'empty' ELSE 'both' END AS presence FROM (SELECT doc_id FROM documents) d FULL JOIN orders o ON o.o_orderkey = d.doc_id")
 def large_object_full_outer(spark, folder):
-    data = table(spark, folder, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"))
+    data = table(spark, folder, "documents").select(F.col("doc_id").alias("id"))
     meta = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"))
     return toast.with_owners(data, meta, "id")
 
@@ -614,12 +614,13 @@ def _heap_scan(spark, df, layout: str, **options):
     """Rows written as heap files into the shared folder and scanned again."""
     import uuid
 
-    from pagewright.plans.lineage import shared_root
+    from pagewright.plans.lineage import remove_at_exit, shared_root
     from pagewright.sources.heap import register
     from pagewright.sources.pagewriter import write_heap
 
     register(spark)
     folder = f"{shared_root(spark)}/heap-{uuid.uuid4().hex}"
+    remove_at_exit(spark, folder)
     write_heap(df, folder, layout).agg(F.sum("n_pages")).collect()  # one number
     reader = spark.read.format("pgheap").option("columns", layout)
     for key, value in options.items():

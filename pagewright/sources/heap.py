@@ -86,6 +86,7 @@ class HeapReader(DataSourceReader):
         self.visibility = options.get("visibility", "")
         if self.visibility not in ("", "live", "all", "deleted"):
             raise ValueError(f"visibility {self.visibility!r}: use live, all or deleted")
+        self.count = options.get("count") == "true"
         self.transform = None
         if options.get("pagetransform"):  # module:function from (page bytes, page number) to page bytes, as a decryptor is
             import importlib
@@ -143,6 +144,10 @@ class HeapReader(DataSourceReader):
             except OSError:
                 continue  # an unreadable range gives no rows here; pgpages tells of its pages
             t = self._tuples(data, partition.first_page + done)
+            if self.count:
+                kept = visible(t.head["infomask"], t.head["xmax"], self.visibility) if self.visibility else np.ones(len(t), dtype=bool)
+                yield pa.RecordBatch.from_arrays([pa.array([int(kept.sum())], pa.int64())], names=["n"])
+                continue
             if self.visibility:
                 t = t.where(visible(t.head["infomask"], t.head["xmax"], self.visibility))
             if len(t):
@@ -155,7 +160,7 @@ class HeapReader(DataSourceReader):
         natts = max(1, len(self.columns)) if self.columns else 1600
         if self.mode == "carve":
             return carved_tuples(data, self.page_size, first, natts)
-        t = standard_tuples(data, self.page_size, first)
+        t = standard_tuples(data, self.page_size, first, self.count)
         if self.mode == "auto" and not len(t) and any(data):
             return carved_tuples(data, self.page_size, first, natts)
         return t
@@ -189,7 +194,8 @@ class HeapDataSource(DataSource):
     or deleted by hint bits, before anything is decoded; without it every tuple comes), temporal (text: dates and timestamps as text, with infinities), pageTransform (`module:function`
     applied to each page's bytes and number).
 
-    Without columns the tuples come as they are, in `raw`; raw=false leaves that out too, as a count needs.
+    Without columns the tuples come as they are, in `raw`; raw=false leaves that out too. count=true gives
+    only `n`, the number of tuples that visibility admits of each 1024 pages: their sum is a count.
     """
 
     @classmethod
@@ -197,6 +203,8 @@ class HeapDataSource(DataSource):
         return "pgheap"
 
     def schema(self) -> T.StructType:
+        if self.options.get("count") == "true":
+            return T.StructType([T.StructField("n", T.LongType())])
         fields = [T.StructField(n, t) for n, t in _HEAD] if self.options.get("header", "true") == "true" else []
         columns = [c for c in _columns(dict(self.options)) if not c.dropped]
         if not columns:

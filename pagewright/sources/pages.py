@@ -56,7 +56,11 @@ def visible(mask: np.ndarray, xmax: np.ndarray, mode: str) -> np.ndarray:
     return ~aborted & ~alive if mode == "deleted" else ~aborted
 
 
-def headers(flat: np.ndarray, start: np.ndarray) -> dict[str, np.ndarray]:
+def headers(flat: np.ndarray, start: np.ndarray, counting: bool = False) -> dict[str, np.ndarray]:
+    if counting:
+        # bytes 4 to 7 and 18 to 22, gathered once
+        cells = flat[start[:, None] + np.array([4, 5, 6, 7, 18, 19, 20, 21, 22])].astype(np.int64)
+        return {"xmax": cells[:, 0] | cells[:, 1] << 8 | cells[:, 2] << 16 | cells[:, 3] << 24, "natts": (cells[:, 4] | cells[:, 5] << 8) & 0x7FF, "infomask": cells[:, 6] | cells[:, 7] << 8, "hoff": cells[:, 8]}
     block = _u16(flat, start + 12) << 16 | _u16(flat, start + 14)
     info2 = _u16(flat, start + 18)
     return {"xmin": _u32(flat, start), "xmax": _u32(flat, start + 4), "ctid_page": block, "ctid_item": _u16(flat, start + 16), "infomask2": info2, "natts": info2 & 0x7FF, "infomask": _u16(flat, start + 20), "hoff": flat[start + 22].astype(np.int64)}
@@ -74,8 +78,8 @@ def page_state(pages: np.ndarray) -> np.ndarray:
     return state
 
 
-def standard_tuples(data: bytes, page_size: int, first_page: int) -> Tuples:
-    """Tuples found by the line pointers of whole pages."""
+def standard_tuples(data: bytes, page_size: int, first_page: int, counting: bool = False) -> Tuples:
+    """Tuples found by the line pointers of whole pages; counting reads no more of their headers than visibility needs."""
     n = len(data) // page_size
     flat = np.frombuffer(data, dtype=np.uint8, count=n * page_size)
     pages = flat.reshape(n, page_size)
@@ -94,7 +98,7 @@ def standard_tuples(data: bytes, page_size: int, first_page: int) -> Tuples:
     fine = (flags == 1) & (size >= TUPLE_HEADER) & (off >= HEADER) & (off + size <= page_size)
     page, item, off, size = page[fine], item[fine], off[fine], size[fine]
     start = page * page_size + off
-    head = headers(flat, start)
+    head = headers(flat, start, counting)
     sane = (head["hoff"] >= TUPLE_HEADER) & (head["hoff"] % 8 == 0) & (head["hoff"] <= size) & (head["natts"] <= 1664)
     return Tuples(flat, page[sane] + first_page, item[sane] + 1, start[sane], size[sane], {k: v[sane] for k, v in head.items()}, bad)
 
