@@ -379,3 +379,51 @@ def cluster_large_object_script(spark, folder):
     pages = raw.select("loid", "raw", F.explode(F.sequence(F.lit(0), (F.ceil(F.length("raw") / 2048) - 1).cast("int"))).alias("pageno"))
     out.put("pg_largeobject", pages.select("loid", "pageno", F.expr("substring(raw, pageno * 2048 + 1, 2048)").alias("data")))
     return toast.page_statements(out.cluster().catalog("pg_largeobject").select("loid", "pageno", "data"), group=4).select("loid", "page", "statement")
+
+
+@query("""SELECT 20000 + n_nationkey AS oid, 'CREATE OR REPLACE FUNCTION public.f_' || n_nationkey || '(integer, text' || CASE WHEN n_regionkey = 1 THEN '[]' ELSE '' END || ') RETURNS ' || CASE WHEN n_regionkey = 2 THEN 'SETOF ' ELSE '' END || 'bigint LANGUAGE plpgsql '
+ || CASE n_regionkey WHEN 0 THEN 'IMMUTABLE' WHEN 1 THEN 'STABLE' ELSE 'VOLATILE' END || CASE WHEN n_regionkey = 3 THEN ' STRICT' ELSE '' END || CASE WHEN n_regionkey = 4 THEN ' SECURITY DEFINER' ELSE '' END || ' AS $$begin return ''' || n_name || '''; end$$;' AS statement FROM nation""")
+def cluster_function_ddl(spark, folder):
+    """CREATE FUNCTION from pg_proc and pg_language, one for each nation."""
+    from pagewright.sources import schema
+
+    out, region = Folder(spark), F.col("n_regionkey")
+    out.rows("pg_namespace", [{"oid": 2200, "nspname": "public"}])
+    out.rows("pg_language", [{"oid": 13000, "lanname": "plpgsql", "lanowner": 10}])
+    rows = table(spark, folder, "nation").select(
+        (F.col("n_nationkey") + 20_000).cast("bigint").alias("oid"), F.concat(F.lit("f_"), F.col("n_nationkey").cast("string")).alias("proname"), F.lit(2200).alias("pronamespace"), F.lit(13000).alias("prolang"), F.lit("f").alias("prokind"),
+        F.when(region == 0, "i").when(region == 1, "s").otherwise("v").alias("provolatile"), (region == 3).alias("proisstrict"), (region == 4).alias("prosecdef"), (region == 2).alias("proretset"), F.lit(20).alias("prorettype"),
+        F.array(F.lit(23), F.when(region == 1, 1009).otherwise(25)).alias("proargtypes"), F.concat(F.lit("begin return '"), "n_name", F.lit("'; end")).alias("prosrc"),
+    )
+    out.put("pg_proc", rows)
+    return schema.function_statements(out.cluster()).select("oid", "statement")
+
+
+_EVENTS = "concat_ws(' OR ', CASE WHEN n_nationkey % 2 = 0 THEN 'INSERT' END, CASE WHEN n_nationkey % 3 = 0 THEN 'DELETE' END, 'UPDATE OF id')"
+
+
+@query(f"""SELECT n_name AS name, 'CREATE TRIGGER "' || n_name || '" ' || CASE WHEN n_regionkey = 0 THEN 'BEFORE' ELSE 'AFTER' END || ' ' || {_EVENTS} || ' ON public.t FOR EACH ' || CASE WHEN n_regionkey = 1 THEN 'STATEMENT' ELSE 'ROW' END || ' EXECUTE FUNCTION public.f(''' || n_name || ''', ''x'');' AS statement FROM nation""")
+def cluster_trigger_ddl(spark, folder):
+    """CREATE TRIGGER from pg_trigger, pg_proc and pg_attribute; internal triggers are left out."""
+    from pagewright.sources import schema
+
+    out, key, region = Folder(spark), F.col("n_nationkey"), F.col("n_regionkey")
+    out.rows("pg_namespace", [{"oid": 2200, "nspname": "public"}])
+    out.rows("pg_class", [{"oid": 16400, "relname": "t", "relnamespace": 2200, "relfilenode": 16400, "relkind": "r"}])
+    out.rows("pg_attribute", [{"attrelid": 16400, "attname": "id", "attnum": 1, "atttypid": 23, "attlen": 4, "attalign": "i", "atttypmod": -1}])
+    out.rows("pg_proc", [{"oid": 16500, "proname": "f", "pronamespace": 2200, "prokind": "f", "provolatile": "v"}])
+    bits = F.when(region == 1, 0).otherwise(1) + F.when(region == 0, 2).otherwise(0) + F.when(key % 2 == 0, 4).otherwise(0) + F.when(key % 3 == 0, 8).otherwise(0) + 16
+    made = lambda internal: table(spark, folder, "nation").select((key + (20_000 + 100 * internal)).cast("bigint").alias("oid"), F.lit(16400).alias("tgrelid"), F.col("n_name").alias("tgname"), F.lit(16500).alias("tgfoid"), bits.alias("tgtype"), F.lit(bool(internal)).alias("tgisinternal"), F.array(F.lit(1)).alias("tgattr"), F.lit(2).alias("tgnargs"), F.concat(F.encode("n_name", "UTF-8"), F.lit(b"\0x\0")).alias("tgargs"))
+    out.put("pg_trigger", made(0).unionByName(made(1)))
+    return schema.trigger_statements(out.cluster()).select(F.regexp_extract("name", r"([^.]*)$", 1).alias("name"), "statement")
+
+
+_BASE = "CASE ltrim(bt.typname, '_') WHEN 'int4' THEN 'integer' WHEN 'varchar' THEN 'character varying' WHEN 'bpchar' THEN 'character' WHEN 'timestamp' THEN 'timestamp without time zone' WHEN 'timestamptz' THEN 'timestamp with time zone' WHEN 'time' THEN 'time without time zone' WHEN 'timetz' THEN 'time with time zone' WHEN 'bool' THEN 'boolean' WHEN 'float8' THEN 'double precision' WHEN 'float4' THEN 'real' WHEN 'int8' THEN 'bigint' WHEN 'int2' THEN 'smallint' WHEN 'varbit' THEN 'bit varying' ELSE ltrim(bt.typname, '_') END || CASE WHEN starts_with(bt.typname, '_') THEN '[]' ELSE '' END"
+
+
+@query(f"WITH {_CT} SELECT ct.oid, 'CREATE DOMAIN public.' || {_q('ct.typname')} || ' AS ' || coalesce({_BASE}, CASE WHEN starts_with(u.typname, '_') THEN {_q('substr(u.typname, 2)')} || '[]' ELSE {_q('u.typname')} END, '\"oid ' || coalesce(ct.base, 0) || '\"') || CASE WHEN ct.notnull THEN ' NOT NULL' ELSE '' END || ';' AS statement FROM ct LEFT JOIN builtin_type bt ON bt.oid = ct.base LEFT JOIN ct u ON u.oid = ct.base WHERE ct.typtype = 'd' AND ct.oid >= 16384")
+def cluster_domain_ddl(spark, folder):
+    """CREATE DOMAIN from pg_type."""
+    from pagewright.sources import schema
+
+    return schema.type_statements(_cluster(spark, folder, "pg_type")).where(F.col("step") == schema.DOMAIN).select("oid", "statement")

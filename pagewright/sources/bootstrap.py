@@ -408,14 +408,16 @@ class Cluster:
         return self.catalog("pg_authid").select("oid", "rolname", "rolsuper", "rolinherit", "rolcreaterole", "rolcreatedb", "rolcanlogin", "rolreplication", "rolbypassrls", "rolconnlimit", "rolpassword", "rolvaliduntil")
 
     def large_objects(self, oids: list[int] | None = None, page_size: int = 2048) -> DataFrame:
-        """Large objects with data or metadata: loid, value, size, state, owner, presence."""
+        """Large objects with data or metadata: loid, value, size, state, owner, presence, owner_name (NULL where the role isn't
+        known)."""
         from pagewright.operators.toast import large_objects, with_owners
 
         pages = self.catalog("pg_largeobject").select("loid", "pageno", "data")
         meta = self.catalog("pg_largeobject_metadata").select(F.col("oid").alias("loid"), F.col("lomowner").alias("owner"))
         if oids:
             pages, meta = pages.where(F.col("loid").isin(oids)), meta.where(F.col("loid").isin(oids))
-        return with_owners(large_objects(pages, page_size), meta, "loid")
+        names = self.optional("pg_authid").groupBy(F.col("oid").alias("owner")).agg(F.max_by("rolname", F.struct("_page", "_item")).alias("owner_name"))
+        return with_owners(large_objects(pages, page_size), meta, "loid").join(names, "owner", "left")
 
 
 def export_meta(cluster: Cluster) -> DataFrame:
