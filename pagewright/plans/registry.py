@@ -599,7 +599,7 @@ def type_coverage(spark, folder):
     return rows.select("atttypid", report.coverage_class(F.col("typname"), F.col("category")).alias("coverage"), "n_columns")
 
 
-@query()
+@query(f"WITH {_ENTRIES} SELECT CAST(to_json({{'n_tables': count(*), 'n_rows': sum(\"rows\")::BIGINT, 'bad_blocks': sum(bad_blocks)::BIGINT, 'n_ok': count(*) FILTER (severity = 0), 'n_warn': count(*) FILTER (severity = 1), 'n_fail': count(*) FILTER (severity = 2)}}) AS VARCHAR) AS report FROM e")
 def report_json(spark, folder):
     """The report as one JSON document per run of the feed: totals and the worst tables."""
     entries = _entries(spark, folder)
