@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,13 +42,15 @@ def footer_catalogue(spark: SparkSession, paths: Sequence[str], slices: int | No
 
     def read(batches):
         import pandas as pd
+        import pyarrow.fs as pf
         import pyarrow.parquet as pq
 
         for batch in batches:
             out = []
             for path in batch["path"]:
                 try:
-                    meta = pq.ParquetFile(path.removeprefix("file://"))
+                    store, place = pf.FileSystem.from_uri(path) if "://" in path else (pf.LocalFileSystem(), path)
+                    meta = pq.ParquetFile(place, filesystem=store)
                     out += [(path, i + 1, f.name, str(f.type), meta.metadata.num_rows) for i, f in enumerate(meta.schema_arrow)]
                 except Exception:
                     out.append((path, None, None, None, None))
@@ -58,6 +60,21 @@ def footer_catalogue(spark: SparkSession, paths: Sequence[str], slices: int | No
     return files.repartition(slices or max(1, min(len(paths), 512))).mapInPandas(read, "path string, position int, field string, field_type string, rows bigint")
 
 
+def footer_snapshots(footers: DataFrame) -> DataFrame:
+    """footer_catalogue() as rows of catalog snapshots, for lifespans() and column_changes(): a folder is a relation
+    (attrelid, a hash of its path; `folder` beside it), a file a snapshot (snap_no by name, `path` beside it).
+
+    Every file counts as a release of its own, so fields are matched by name; field types are told apart by a hash.
+    Unreadable files give no rows.
+    """
+    rows = footers.where("field is not null").withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
+    files = rows.select("folder", "path").distinct()
+    files = files.withColumn("snap_no", F.row_number().over(Window.partitionBy("folder").orderBy("path")))  # one row a file
+    sizes = rows.groupBy("path").agg(F.max("position").alias("relnatts"))
+    rows = rows.join(files, ["folder", "path"]).join(sizes, "path")
+    return rows.select(F.xxhash64("folder").alias("attrelid"), "snap_no", F.col("field").alias("attname"), F.xxhash64("field_type").alias("atttypid"), F.col("position").alias("attnum"), F.lit(-1).alias("atttypmod"), F.lit(False).alias("attisdropped"), "relnatts", F.lit(0).cast("bigint").alias("t_xmin"), F.col("snap_no").alias("pg_version"), "folder", "path", "field_type")
+
+
 def snapshot_columns(attr: DataFrame) -> DataFrame:
     """The columns of each catalog snapshot, dropped ones included: of each (attrelid, snap_no, attnum) with
     1 <= attnum <= relnatts the row that isn't dropped, then with the highest t_xmin, then by name and type.
@@ -225,3 +242,20 @@ def unified_rows(attr: DataFrame, records: DataFrame, aliases: Mapping[int, str]
             good = text.try_cast(T._parse_datatype_string(name)).isNotNull()
         fits = F.when(F.col("target_type") == name, good).otherwise(fits)
     return out.withColumn("cast_ok", F.col("value").isNull() | F.coalesce(fits, F.lit(False)))
+
+
+def unified_table(attr: DataFrame, records: DataFrame, attrelid: int, aliases: Mapping[int, str] = TYPE_ALIASES) -> DataFrame:
+    """The records of one relation as a table of its latest columns, typed by the alias table: rec_id, snap_no and the
+    columns in order of attnum; values that aren't of the type are NULL. A column whose name is taken gets `_` and its number.
+    """
+    rows = materialize(unified_rows(attr.where(F.col("attrelid") == attrelid), records.where(F.col("attrelid") == attrelid), aliases))
+    columns = rows.select("attnum", "attname", "target_type").distinct().orderBy("attnum").collect()  # at most 1600
+    taken, made = {"rec_id", "snap_no"}, []
+    for c in columns:
+        name = c.attname or f"column_{c.attnum}"
+        name = f"{name}_{c.attnum}" if name.lower() in taken else name
+        taken.add(name.lower())
+        text = F.max(F.when(F.col("attnum") == c.attnum, F.col("value")))
+        value = F.try_to_timestamp(text).cast("timestamp_ntz") if c.target_type == "timestamp_ntz" else text if c.target_type == "string" else F.trim(text).try_cast(T._parse_datatype_string(c.target_type))
+        made.append(value.alias(name))
+    return rows.groupBy("rec_id", "snap_no").agg(*made) if made else rows.select("rec_id", "snap_no")

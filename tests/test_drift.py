@@ -95,3 +95,27 @@ def test_footers(spark, tmp_path):
     (tmp_path / "bad").write_bytes(b"no parquet")
     rows = D.footer_catalogue(spark, [str(file), str(tmp_path / "bad")]).collect()
     assert {(r.position, r.field, r.field_type, r.rows) for r in rows} == {(1, "id", "int64", 3), (None, None, None, None)} or len(rows) == 2
+
+
+def test_footers_of_a_folder_are_snapshots(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"a": pa.array([1], pa.int32()), "b": ["x"]}), tmp_path / "f1.parquet")
+    pq.write_table(pa.table({"b": ["x"], "a": pa.array([1], pa.int64())}), tmp_path / "f2.parquet")
+    pq.write_table(pa.table({"c": ["x"], "b": ["y"]}), tmp_path / "f3.parquet")
+    (tmp_path / "f4.parquet").write_bytes(b"no parquet")
+    footers = D.footer_catalogue(spark, [f"file://{tmp_path}/f1.parquet", *[str(tmp_path / f"f{i}.parquet") for i in (2, 3, 4)]])
+    snaps = D.footer_snapshots(footers.withColumn("path", F.regexp_replace("path", "^file://", "")))
+    got = {(r.snap_no, r.attnum, r.change_kind) for r in D.column_changes(snaps).collect()}
+    assert got == {(2, 2, "retyped"), (3, 2, "removed"), (3, 1, "added")}
+
+
+def test_one_relation_as_a_typed_table(spark):
+    attr = [(1, 1, "id", 25, 1, -1, False, 2, 1, 12), (1, 1, "at", 25, 2, -1, False, 2, 1, 12), (1, 2, "id", 23, 1, -1, False, 2, 2, 12), (1, 2, "rec_id", 25, 2, -1, False, 2, 2, 12)]
+    columns = "attrelid bigint, snap_no int, attname string, atttypid bigint, attnum int, atttypmod int, attisdropped boolean, relnatts int, t_xmin bigint, pg_version int"
+    records = [(1, 1, 1, "f", 12, 2, "7\tx", None), (2, 1, 1, "f", 12, 2, "no\t\\N", None), (3, 1, 2, "g", 12, 1, " 9 ", None), (4, 2, 1, "h", 12, 1, "other", None)]
+    copy = spark.createDataFrame(records, "rec_id bigint, attrelid bigint, snap_no int, file_name string, pg_version int, natts int, line string, written_ts timestamp")
+    table = D.unified_table(spark.createDataFrame(attr, columns), copy, 1)
+    assert dict(table.dtypes)["id"] == "int" and table.columns == ["rec_id", "snap_no", "id", "rec_id_2"]
+    assert {(r.rec_id, r.id, r.rec_id_2) for r in table.collect()} == {(1, 7, "x"), (2, None, None), (3, 9, None)}
