@@ -23,6 +23,10 @@ def test_large_object_script(spark, tmp_path):
     same_rows(spark, tmp_path, "cluster_large_object_script")
 
 
+def test_out_of_line_values(spark, tmp_path):
+    same_rows(spark, tmp_path, "cluster_read_documents")
+
+
 def test_numbers_differ(spark):
     from pagewright.plans.position import with_number
 
